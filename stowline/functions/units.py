@@ -22,7 +22,12 @@ def usable(free: Column, reserve: Column, in_flight: Column) -> Column:
 def format_bytes(size: Column) -> Column:
     """``B``, ``KiB``, ``MiB`` or ``GiB`` with two decimals; GiB is the largest unit."""
     def scaled(unit: int, label: str) -> Column:
-        return F.format_string(f"%.2f {label}", size.cast("double") / F.lit(float(unit)))
+        # Hundredths in integers, a half rounded to the even digit: no float decides a printed digit.
+        part = (size % unit) * 100
+        floor, rest = F.floor(part / unit), part % unit
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (floor % 2 == 1))
+        hundredths = F.floor((size - size % unit) / unit) * 100 + floor + F.when(up, 1).otherwise(0)
+        return F.format_string(f"%d.%02d {label}", F.floor(hundredths / 100), hundredths % 100)
 
     return (
         F.when(size.isNull(), F.lit(None).cast("string"))

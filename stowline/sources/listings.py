@@ -34,11 +34,11 @@ def normalise_drive(listing: DataFrame, json: str = "json") -> DataFrame:
     return kept.select(
         "library_id", "location_id",
         F.col("id").alias("remote_ref"),
-        F.element_at("parents", 1).alias("parent_ref"),
+        F.get("parents", F.lit(0)).alias("parent_ref"),
         "name",
         F.when(is_shortcut, "shortcut").when(is_folder, "directory").otherwise("byte").alias("kind"),
         F.col("shortcutDetails.targetId").alias("shortcut_target_ref"),
-        F.when(is_shortcut | is_folder, F.lit(None)).otherwise(F.col("size").cast("long")).alias("size"),
+        F.when(is_shortcut | is_folder, F.lit(None)).otherwise(F.col("size").try_cast("long")).alias("size"),
         F.col("mimeType").alias("mime"),
         F.lit("cloud_native").alias("hydration"),
         F.when(~(is_shortcut | is_folder), F.lower("md5Checksum")).alias("md5"),

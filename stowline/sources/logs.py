@@ -17,7 +17,7 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     parsed = lines.withColumn("_m", fields).withColumn("_bad", F.col("_m").isNull() | (F.size("_m") == 0))
     free = F.map_filter("_m", lambda k, _: ~k.isin(*LOG_FIELDS, "message"))
     return parsed.select(
-        F.to_timestamp(F.element_at("_m", "ts")).alias("ts"),
+        F.try_to_timestamp(F.element_at("_m", "ts")).alias("ts"),
         F.element_at("_m", "level").alias("level"),
         F.element_at("_m", "target").alias("target"),
         F.coalesce(F.element_at("_m", "msg"), F.element_at("_m", "message")).alias("msg"),
