@@ -126,11 +126,10 @@ class Sequencer:
             is_open = is_open & F.col("staging").isNotNull()
         rows = admit_largest(rows.withColumn("_open", is_open), self.need_buckets, "_open", "_limit")
         taken = F.col("admitted")
-        self.frames[kind] = cut_lineage(
+        n = rows.filter("admitted").count()
+        self.frames[kind] = (
             rows.withColumn("round", F.when(taken, F.lit(round_no)).otherwise(F.col("round")))
-            .withColumn("step", F.when(taken, F.lit(step)).otherwise(F.col("step"))).drop("_open", "_limit"))
-        n = self.frames[kind].filter("admitted").count()
-        self.frames[kind] = self.frames[kind].drop("admitted")
+            .withColumn("step", F.when(taken, F.lit(step)).otherwise(F.col("step"))).drop("_open", "_limit", "admitted"))
         self.pending[kind] -= n
         return n
 
@@ -187,25 +186,38 @@ class Sequencer:
         return n
 
     def run(self) -> None:
+        """Repeat the steps until none can move: each is retried only after what it waits for has changed.
+
+        Cloud space never grows, so an upload that did not fit at first never will, and a shuttle is
+        tried again only if it lacked staging space. Shuttles and downloads wait for freed volume
+        space, evicts for new verified copies or for a preferred goal that was given up.
+        """
         any_evict = not self.evicts.isEmpty()
-        round_no = 0
+        round_no, copies, space = 1, True, True
+        moved = self.transfer("upload_evict", round_no, UPLOAD_EVICT)
+        if any_evict and self.evict(round_no, EVICT_1):
+            copies = False
+        copies = self.transfer("upload_keep", round_no, UPLOAD_KEEP) > 0 or (copies and moved > 0)
+        shuttle_waits = True
         while True:
+            if space and shuttle_waits:
+                copies = self.transfer("shuttle", round_no, SHUTTLE) > 0 or copies
+                shuttle_waits = self.lacks_staging()
+            if copies and any_evict:
+                space = self.evict(round_no, EVICT_2) > 0 or space
+            copies = False
+            loaded = self.transfer("download", round_no, DOWNLOAD) if space else 0
+            space = loaded > 0 and any_evict and self.evict(round_no, EVICT_3) > 0
+            if not space:
+                if self.drop_soft() == 0:
+                    return
+                copies = True
             round_no += 1
-            moved = 0
-            # Cloud space never grows, so an upload that did not fit in the first round never will.
-            if round_no == 1:
-                moved += self.transfer("upload_evict", round_no, UPLOAD_EVICT)
-                moved += self.evict(round_no, EVICT_1) if any_evict else 0
-                moved += self.transfer("upload_keep", round_no, UPLOAD_KEEP)
-            moved += self.transfer("shuttle", round_no, SHUTTLE)
-            if any_evict:
-                moved += self.evict(round_no, EVICT_2)
-            loaded = self.transfer("download", round_no, DOWNLOAD)
-            moved += loaded
-            if any_evict and loaded:
-                moved += self.evict(round_no, EVICT_3)
-            if moved == 0 and self.drop_soft() == 0:
-                return
+
+    def lacks_staging(self) -> bool:
+        if not self.pending.get("shuttle"):
+            return False
+        return not self.frames["shuttle"].filter("round IS NULL AND staging IS NULL").isEmpty()
 
     def operations(self) -> DataFrame:
         """All admitted rows with their position per library."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+TABLES: dict[str, str] = {
     "providers": "library_id BIGINT, id STRING, kind STRING, account STRING, config MAP<STRING,STRING>, created_at TIMESTAMP",
     "locations": "library_id BIGINT, location_id STRING, provider_id STRING, kind STRING, label STRING, root STRING, "
                  "volume_serial STRING, removable BOOLEAN, roles ARRAY<STRING>, is_online BOOLEAN",
@@ -37,7 +35,11 @@ _DDL = {
                    "inherited_from STRING",
 }
 
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+def columns(table: str) -> list[tuple[str, str]]:
+    """Name and type of each column of a table, in order."""
+    return [tuple(column.split(" ", 1)) for column in TABLES[table].split(", ")]
+
 
 # Allowed words of the enum columns.
 ENUMS: dict[tuple[str, str], tuple[str, ...]] = {

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowline.schemas import TABLES
+from stowline.schemas import TABLES, columns
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of the declared schema, in order and cast; missing ones are NULL, unknown ones an error."""
-    schema = TABLES[table]
-    unknown = set(df.columns) - set(schema.fieldNames())
+    declared = columns(table)
+    unknown = set(df.columns) - {name for name, _ in declared}
     if unknown:
         raise ValueError(f"{table}: unknown columns {sorted(unknown)}")
     return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+        (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in declared
     ])
 
 
@@ -28,5 +28,5 @@ def write_catalog(df: DataFrame, root: str, table: str, mode: str = "overwrite")
 
 def read_catalog(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Read one table with its declared schema; a filter on ``library_id`` prunes folders."""
-    schema = TABLES[table]
-    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{table}").select(*schema.fieldNames())
+    stored = spark.read.schema(TABLES[table]).parquet(f"{root.rstrip('/')}/{table}")
+    return stored.select(*[name for name, _ in columns(table)])

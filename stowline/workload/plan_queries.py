@@ -9,6 +9,7 @@ from stowline.functions.units import MIB
 from stowline.operators import capacity
 from stowline.plans import build, checks, placement, sequence, simulate
 from stowline.scale import order_buckets
+from stowline.session import cut_lineage
 from stowline.workload.policy_queries import RESERVE, blobs, classified, goals
 from stowline.workload.registry import query
 
@@ -91,7 +92,8 @@ def _(t):
 
 
 def full_plan(t):
-    return build.build_plan(classified(t), t("v_policies"), t("v_members"), t("v_locations"), RESERVE)
+    """Plan over the whole catalog; the classified view is stored once, as a catalog table would be."""
+    return build.build_plan(cut_lineage(classified(t)), t("v_policies"), t("v_members"), t("v_locations"), RESERVE)
 
 
 @query("build_plan")
