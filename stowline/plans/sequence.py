@@ -21,7 +21,7 @@ from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in,
 from stowline.session import cut_lineage
 
 RESOURCE = ["library_id", "dest"]
-WAVES_PER_PASS = 4
+WAVES_PER_PASS = 3
 
 # Step numbers inside a round; they order the plan.
 UPLOAD_EVICT, EVICT_1, UPLOAD_KEEP, SHUTTLE, EVICT_2, DOWNLOAD, EVICT_3 = range(1, 8)
@@ -40,24 +40,25 @@ def admit_largest(rows: DataFrame, buckets: list[str], eligible: str, limit: str
     """Mark in ``admitted`` the rows that "largest that still fits" takes from each dest's ``limit``.
 
     ``rows`` holds library_id, blob_id, dest and size, plus a Boolean ``eligible`` column; ``limit`` is
-    constant per dest. Several waves share one plan, over one partitioning and sort order.
+    constant per dest. Without buckets several waves share one plan, over one partitioning and sort
+    order. With buckets each wave stores its running sum once and reads it twice.
     """
     order = [F.col("size").desc(), F.col("blob_id"), F.col("dest")]
-    state = rows.withColumn("admitted", F.lit(False)).withColumn("_left", F.col(limit))
+    zero = F.lit(0).cast("long")
+    state = rows.withColumns({"admitted": F.lit(False), "_left": F.col(limit)})
     while True:
-        for _ in range(WAVES_PER_PASS):
-            open_row = F.col(eligible) & ~F.col("admitted") & (F.col("size") <= F.col("_left"))
-            state = state.withColumn("_try", F.when(open_row, F.col("size")))
-            state = running_sum(state, RESOURCE, order, F.coalesce("_try", F.lit(0).cast("long")), "_run", buckets)
-            state = state.withColumn("_new", F.col("_try").isNotNull() & (F.col("_run") <= F.col("_left")))
-            taken = F.when(F.col("_new"), F.col("size")).otherwise(F.lit(0).cast("long"))
+        for _ in range(1 if buckets else WAVES_PER_PASS):
+            fits = F.col(eligible) & ~F.col("admitted") & (F.col("size") <= F.col("_left"))
+            state = running_sum(state, RESOURCE, order, F.when(fits, F.col("size")).otherwise(zero), "_run", buckets)
+            taken = fits & (F.col("_run") <= F.col("_left"))
+            used = F.sum(F.when(taken, F.col("size")).otherwise(zero))
             if buckets:
-                spent = state.groupBy(*RESOURCE).agg(F.sum(taken).alias("_spent"))
-                state = lookup_join(state, spent, RESOURCE, "inner")
+                state = cut_lineage(state)
+                state = lookup_join(state, state.groupBy(*RESOURCE).agg(used.alias("_used")), RESOURCE, "inner")
             else:
-                state = state.withColumn("_spent", F.sum(taken).over(Window.partitionBy(*RESOURCE)))
-            state = state.withColumn("_left", F.col("_left") - F.col("_spent")).withColumn(
-                "admitted", F.col("admitted") | F.col("_new")).drop("_try", "_run", "_new", "_spent")
+                state = state.withColumn("_used", used.over(Window.partitionBy(*RESOURCE)))
+            state = state.withColumns({"admitted": F.col("admitted") | taken, "_left": F.col("_left") - F.col("_used")}).drop(
+                "_run", "_used")
         state = cut_lineage(state)
         more = state.filter(F.col(eligible) & ~F.col("admitted") & (F.col("size") <= F.col("_left")))
         if more.isEmpty():
@@ -128,8 +129,8 @@ class Sequencer:
         taken = F.col("admitted")
         n = rows.filter("admitted").count()
         self.frames[kind] = (
-            rows.withColumn("round", F.when(taken, F.lit(round_no)).otherwise(F.col("round")))
-            .withColumn("step", F.when(taken, F.lit(step)).otherwise(F.col("step"))).drop("_open", "_limit", "admitted"))
+            rows.withColumns({"round": F.when(taken, F.lit(round_no)).otherwise(F.col("round")),
+                              "step": F.when(taken, F.lit(step)).otherwise(F.col("step"))}).drop("_open", "_limit", "admitted"))
         self.pending[kind] -= n
         return n
 
@@ -157,19 +158,16 @@ class Sequencer:
         zero = F.lit(0).cast("long")
         have = F.coalesce("verified", zero) + F.coalesce("_gain", zero) - F.coalesce("_loss", zero)
         least = F.greatest(F.lit(1), F.least("min_replicas", F.col("n_goals") - F.coalesce("_drop", zero)))
-        rows = rows.withColumn("_have", have).withColumn("_least", least)
-        rows = rows.withColumn("_open", F.col("round").isNull() & F.col("_read").isNull())
+        rows = rows.withColumns({"_have": have, "_least": least, "_open": F.col("round").isNull() & F.col("_read").isNull()})
         rows = running_sum(rows, BLOB_KEY, [F.col("file_id")], F.col("_open").cast("long"), "_no", self.evict_buckets)
-        taken = F.col("_open") & (F.col("_have") - F.col("_no") >= F.col("_least"))
-        paired = taken & (F.col("_no") == 1) & F.col("_pair").isNotNull() & F.lit(step == EVICT_1)
         before = self.evicts.columns
-        rows = rows.withColumn("_taken", taken).withColumn("_paired", paired)
-        rows = (
-            rows.withColumn("round", F.when(F.col("_taken"), F.lit(round_no)).otherwise(F.col("round")))
-            .withColumn("step", F.when(F.col("_paired"), F.lit(UPLOAD_EVICT)).when(F.col("_taken"), F.lit(step))
-                        .otherwise(F.col("step")))
-            .withColumn("pair_dest", F.when(F.col("_paired"), F.col("_pair")).otherwise(F.col("pair_dest")))
-        )
+        rows = rows.withColumn("_taken", F.col("_open") & (F.col("_have") - F.col("_no") >= F.col("_least")))
+        paired = F.col("_taken") & (F.col("_no") == 1) & F.col("_pair").isNotNull() & F.lit(step == EVICT_1)
+        rows = rows.withColumns({
+            "round": F.when(F.col("_taken"), F.lit(round_no)).otherwise(F.col("round")),
+            "step": F.when(paired, F.lit(UPLOAD_EVICT)).when(F.col("_taken"), F.lit(step)).otherwise(F.col("step")),
+            "pair_dest": F.when(paired, F.col("_pair")).otherwise(F.col("pair_dest")),
+        })
         self.evicts = cut_lineage(rows.select(*before, "_taken"))
         n = self.evicts.filter("_taken").count()
         self.evicts = self.evicts.drop("_taken")

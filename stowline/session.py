@@ -53,6 +53,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a loop state durably, so that a lost executor costs a re-read, not a replay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store a loop state as a table of the shared folder, so that a lost executor costs a re-read, not a replay.
+
+    A Parquet table rather than an RDD checkpoint: later steps read only the columns they use, and its
+    known size lets Catalyst pick the join strategy.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, "state")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
