@@ -173,14 +173,14 @@ def dest_path(needs: DataFrame, held: DataFrame) -> DataFrame:
 
 def dest_conflicts(needs: DataFrame, files: DataFrame) -> DataFrame:
     """Verdict per need: ``noop`` if the same blob is at the path, ``needs_manual`` if another one is there
-    or a second blob of this plan targets it, else ``clear``.
+    or a second blob of this plan targets it, else ``clear``. A need without path keeps ``no_path``.
 
     ``files`` holds (library_id, location_id, path, blob_id), at most one row per path.
     """
     at = files.select("library_id", F.col("location_id").alias("dest"), F.lower("path").alias("_key"),
                       F.col("blob_id").alias("_there"))
     at = at.groupBy("library_id", "dest", "_key").agg(F.min("_there").alias("_low"), F.max("_there").alias("_high"))
-    keyed = needs.withColumn("_key", F.lower("dest_path"))
+    keyed = needs.filter(F.col("dest_path").isNotNull()).withColumn("_key", F.lower("dest_path"))
     rivals = keyed.groupBy("library_id", "dest", "_key").agg(
         (F.min("blob_id") != F.max("blob_id")).alias("_rivals"))
     joined = keyed.join(at, ["library_id", "dest", "_key"], "left").join(rivals, ["library_id", "dest", "_key"])
@@ -189,7 +189,8 @@ def dest_conflicts(needs: DataFrame, files: DataFrame) -> DataFrame:
         F.when(F.col("_low").isNotNull() & ~same, "needs_manual").when(F.col("_rivals"), "needs_manual")
         .when(same, "noop").otherwise("clear")
     )
-    return joined.withColumn("verdict", verdict).drop("_key", "_low", "_high", "_rivals")
+    judged = joined.withColumn("verdict", verdict).select(*needs.columns, "verdict")
+    return judged.unionByName(needs.filter(F.col("dest_path").isNull()).withColumn("verdict", F.lit("no_path")))
 
 
 def evictable(replicas: DataFrame) -> DataFrame:
