@@ -19,14 +19,12 @@ def basename(path: Column) -> Column:
 
 def dirname(path: Column) -> Column:
     """Everything before the last separator, in slashed form and without a trailing one."""
-    flat = slashed(path)
-    return F.substring(flat, F.lit(1), F.greatest(F.length(flat) - F.length(basename(path)) - 1, F.lit(0)))
+    return F.regexp_extract(slashed(path), "^(.*)/[^/]*$", 1)
 
 
 def extension(path: Column) -> Column:
     """Lower-case text after the last dot of the name; empty when there is none."""
-    name = basename(path)
-    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
+    return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
 
 
 def folded(path: Column) -> Column:
@@ -43,9 +41,8 @@ def prefixes(path: Column) -> Column:
     )
 
 
-def contains_any(column: Column, needles: Iterable[str]) -> Column:
-    """Case-insensitive literal substring test against any needle; NULL counts as no match."""
-    lowered = F.lower(column)
+def contains_any(lowered: Column, needles: Iterable[str]) -> Column:
+    """Literal substring test of lower-case text against any needle in any case; NULL counts as no match."""
     hit = F.lit(False)
     for needle in needles:
         hit = hit | lowered.contains(needle.lower())

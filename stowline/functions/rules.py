@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.paths import contains_any, extension
@@ -40,38 +40,48 @@ class Rule:
     policy: Policy = field(default_factory=Policy)
 
 
-def compile_match(match: Mapping, path: Column | None = None, mime: Column | None = None) -> Column:
-    """Boolean column of nested ``any`` / ``all`` / ``not`` over the leaf tests; never NULL."""
-    path = F.col("path") if path is None else path
-    mime = F.col("mime") if mime is None else mime
+# Columns that the tests read. They are computed once per row, ahead of the tests, because a long
+# chain of repeated string calls makes a generated method too large for the JVM to compile.
+MATCH_INPUTS = ("_path", "_extension", "_mime")
+
+
+def with_match_inputs(files: DataFrame) -> DataFrame:
+    return files.withColumns({
+        "_path": F.lower("path"), "_extension": extension(F.col("path")), "_mime": F.lower("mime")})
+
+
+def compile_match(match: Mapping) -> Column:
+    """Boolean column of nested ``any`` / ``all`` / ``not`` over the leaf tests; never NULL.
+
+    Reads the columns of :func:`with_match_inputs`.
+    """
     if len(match) != 1:
         raise ValueError(f"one test per node expected: {sorted(match)}")
     (test, arg), = match.items()
     if test in ("any", "all"):
         out = F.lit(test == "all")
         for child in arg:
-            sub = compile_match(child, path, mime)
-            out = (out & sub) if test == "all" else (out | sub)
+            out = (out & compile_match(child)) if test == "all" else (out | compile_match(child))
         return out
     if test == "not":
-        return ~compile_match(arg, path, mime)
+        return ~compile_match(arg)
+    if test == "always":
+        return F.lit(bool(arg))
     values = [arg] if isinstance(arg, str) else arg
     if test == "path_contains":
-        return contains_any(path, values)
+        return contains_any(F.col("_path"), values)
     if test == "extension":
-        return F.coalesce(extension(path).isin(*[v.lower().lstrip(".") for v in values]), F.lit(False))
+        return F.coalesce(F.col("_extension").isin(*[v.lower().lstrip(".") for v in values]), F.lit(False))
     if test == "mime_prefix":
         hit = F.lit(False)
         for value in values:
-            hit = hit | F.lower(mime).startswith(value.lower())
+            hit = hit | F.col("_mime").startswith(value.lower())
         return F.coalesce(hit, F.lit(False))
-    if test == "always":
-        return F.lit(bool(arg))
     raise ValueError(f"unknown match test: {test}")
 
 
 def collection_of(rules: Sequence[Rule]) -> Column:
-    """Name of the first rule that matches, in document order."""
+    """Name of the first rule that matches, in document order; reads the match inputs."""
     chain: Column | None = None
     for rule in rules:
         hit = compile_match(rule.match)

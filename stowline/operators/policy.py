@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowline.functions.paths import basename
-from stowline.functions.rules import KEEP_LOCAL, Rule, collection_of
+from stowline.functions.rules import KEEP_LOCAL, MATCH_INPUTS, Rule, collection_of, with_match_inputs
 from stowline.operators.capacity import most_free
 from stowline.operators.identity import BLOB_KEY
 from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in, running_sum
@@ -32,7 +32,7 @@ def policy_tables(spark: SparkSession, rules: Sequence[Rule], library_ids: Seque
 
 def classify(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """First matching collection in document order, else ``default``; one chained expression in one scan."""
-    return files.withColumn("collection", collection_of(rules))
+    return with_match_inputs(files).withColumn("collection", collection_of(rules)).drop(*MATCH_INPUTS)
 
 
 def keep_rank(column: str = "keep_local") -> Column:
@@ -280,7 +280,7 @@ def policy_diff(files: DataFrame, old: Sequence[Rule], new: Sequence[Rule], old_
 
     Both placements are columns of one scan, so nothing but the counts is shuffled.
     """
-    both = files.withColumn("old_collection", collection_of(old)).withColumn("new_collection", collection_of(new))
+    both = with_match_inputs(files).withColumns({"old_collection": collection_of(old), "new_collection": collection_of(new)})
     for tag, table in (("old", old_policies), ("new", new_policies)):
         side = table.select("library_id", F.col("collection").alias(f"{tag}_collection"),
                             F.struct("keep_local", "min_replicas", "cloud_choice", "pin_local", "dest_subdir").alias(tag))

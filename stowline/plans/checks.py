@@ -9,7 +9,7 @@ from stowline.operators.dups import usable_verified
 from stowline.operators.identity import BLOB_KEY
 from stowline.operators.policy import dest_conflicts
 from stowline.plans.simulate import PLAN
-from stowline.scale import ROWS_PER_BUCKET, lookup_join, position_bucket, rank_in, running_sum
+from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, position_bucket, rank_in, running_sum
 
 
 def space_ledger(ops: DataFrame, locations: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -140,11 +140,11 @@ def authorise_delete(evicts: DataFrame, replicas: DataFrame, rows_per_bucket: in
     own = replicas.select("library_id", "file_id", stands.alias("_self"), (F.col("location_kind") == "volume").alias("_local"))
     rows = evicts.join(own, ["library_id", "file_id"], "left").join(counted, BLOB_KEY, "left")
     rows = rows.withColumn("_self", F.coalesce("_self", F.lit(False)))
-    bucket = F.floor(F.col("file_id") / F.lit(rows_per_bucket)).cast("long")
-    ranked = rank_in(rows.withColumn("_bucket", bucket), BLOB_KEY, [F.col("file_id")], "evict_no", ["_bucket"])
+    rows, buckets = order_buckets(rows, BLOB_KEY, "file_id", rows_per_bucket=rows_per_bucket)
+    ranked = rank_in(rows, BLOB_KEY, [F.col("file_id")], "evict_no", buckets)
     remaining = F.coalesce("counted", F.lit(0)) - F.col("evict_no")
     verdict = (
         F.when(~F.coalesce("_local", F.lit(False)), "refused_not_local").when(~F.col("_self"), "refused_not_verified")
         .when(remaining >= 1, "permit").otherwise("refused_last_copy")
     )
-    return ranked.withColumn("verdict", verdict).drop("_self", "_local", "_bucket", "counted")
+    return ranked.withColumn("verdict", verdict).drop("_self", "_local", "_b1", "counted")

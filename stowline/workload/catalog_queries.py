@@ -95,7 +95,7 @@ SELECT f.library_id, f.file_id, f.path FROM v_files f WHERE NOT EXISTS (
     AND (lower(f.path) = rtrim(lower(r.path), '/') OR starts_with(lower(f.path), concat(rtrim(lower(r.path), '/'), '/'))))
 """)
 def _(t):
-    return inventory.exclude_roots(t("v_files"), t("v_roots")).select("library_id", "file_id", "path")
+    return inventory.exclude_roots(t.stored("v_files"), t("v_roots")).select("library_id", "file_id", "path")
 
 
 @query("classify_root", """
@@ -414,7 +414,7 @@ SELECT library_id, blob_id, file_id, location_id, size, verified, evict_no FROM
 WHERE verified - evict_no >= 1 AND local_verified - evict_no >= 1
 """)
 def _(t):
-    return dups.extra_local(t("v_files"))
+    return dups.extra_local(t.stored("v_files"))
 
 
 @query("consolidate", f"""
@@ -431,7 +431,7 @@ FROM f WHERE {GOOD} AND location_id <> dest AND (library_id, blob_id) IN (SELECT
 """)
 def _(t):
     volumes = t("v_locations").filter("kind = 'volume' AND is_online").groupBy("library_id").agg(F.min("location_id").alias("dest"))
-    return dups.consolidate(t("v_files"), volumes)
+    return dups.consolidate(t.stored("v_files"), volumes)
 
 
 @query("search", """

@@ -22,6 +22,13 @@ def _(t):
 
 
 def sourced(t):
+    if "sourced" not in t.shared:
+        t.shared["goals"] = cut_lineage(goals(t))
+        t.shared["sourced"] = cut_lineage(_sourced(t))
+    return t.shared["sourced"]
+
+
+def _sourced(t):
     return placement.choose_source(placement.need_place(goals(t), t("v_files")), t("v_files"))
 
 
@@ -87,7 +94,7 @@ SELECT g.library_id, g.dest, unnest(g.taken) AS blob_id FROM (
         WHERE f.hydration <> 'placeholder' GROUP BY 1, 2)) g
 """)
 def _(t):
-    rows, buckets = order_buckets(best_fit_rows(t), ["library_id", "dest"], "size", "blob_id", descending=True)
+    rows, buckets = order_buckets(cut_lineage(best_fit_rows(t)), ["library_id", "dest"], "size", "blob_id", descending=True)
     return sequence.admit_largest(rows, buckets, "whole", "usable").filter("admitted").select("library_id", "dest", "blob_id")
 
 

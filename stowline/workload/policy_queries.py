@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stowline.functions.rules import EXAMPLE_COLLECTIONS, compile_match, example_rules, rules_from_document
+from stowline.functions.rules import EXAMPLE_COLLECTIONS, compile_match, example_rules, rules_from_document, with_match_inputs
 from stowline.functions.units import MIB, format_bytes
 from stowline.operators import capacity, policy
+from stowline.session import cut_lineage
 from stowline.workload.registry import query
 
 RESERVE = 512 * MIB
@@ -131,7 +132,7 @@ SELECT library_id, file_id, (contains(lower(path), '/docs/') OR ends_with(path,
 FROM v_files
 """)
 def _(t):
-    return t("v_files").select("library_id", "file_id", compile_match(NESTED).alias("hit"))
+    return with_match_inputs(t("v_files")).select("library_id", "file_id", compile_match(NESTED).alias("hit"))
 
 
 def classified(t):
@@ -171,11 +172,17 @@ def _(t):
 
 
 def blobs(t):
-    return policy.collapse_to_blob(placed(t))
+    """One placement per blob, stored once per query like the file table it comes from."""
+    if "blobs" not in t.shared:
+        t.stored("v_files")
+        t.shared["blobs"] = cut_lineage(policy.collapse_to_blob(placed(t)))
+    return t.shared["blobs"]
 
 
 def goals(t):
-    return policy.goal_locations(blobs(t), t("v_files"), t("v_policies"), t("v_members"), t("v_locations"))
+    if "goals" not in t.shared:
+        t.shared["goals"] = policy.goal_locations(blobs(t), t("v_files"), t("v_policies"), t("v_members"), t("v_locations"))
+    return t.shared["goals"]
 
 
 @query("goal_locations", "SELECT library_id, blob_id, collection, keep_local, dest, dest_kind, size FROM o_goals")

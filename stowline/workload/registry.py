@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stowline.session import cut_lineage
 from stowline.workload.views import BASE_TABLES, ORACLE_VIEWS, VIEWS
 
 Query = Callable[["Tables"], DataFrame]
@@ -24,6 +25,8 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._made: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
+        self.shared: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -33,6 +36,13 @@ class Tables:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]
 
+    def stored(self, name: str) -> DataFrame:
+        """The view as a table of the shared folder, as a catalog table would be; for queries that read it often."""
+        if name not in self._stored:
+            self._made[name] = cut_lineage(self(name))
+            self._stored.add(name)
+        return self._made[name]
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL in which ``{name}`` stands for a table or view."""
         names = set(_SLOT.findall(text))

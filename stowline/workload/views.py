@@ -61,13 +61,12 @@ SELECT file_id, blob_id, location_id, library_id, hydration, mtime_utc, ntfs_fil
 FROM {v_files} WHERE blob_id % 19 <> 0
 """
 
-VIEWS["v_scans"] = """
-SELECT CAST(s_suppkey % 2 AS BIGINT) AS library_id, s_suppkey * 10 + k.k AS id, s_suppkey AS provider_id,
-       CASE WHEN s_suppkey % 7 = k.k THEN 'error' ELSE 'ok' END AS status, k.k <> 1 AS is_full,
-       CAST(concat('2024-01-0', CAST(k.k + 1 AS VARCHAR(2)), ' 00:00:00') AS TIMESTAMP) AS started_at,
-       CAST(concat('2024-01-0', CAST(k.k + 1 AS VARCHAR(2)), ' 0', CAST(s_suppkey % 10 AS VARCHAR(2)), ':30:00') AS TIMESTAMP) AS finished_at
-FROM {supplier} JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k ON true
-"""
+VIEWS["v_scans"] = " UNION ALL ".join(f"""
+SELECT CAST(s_suppkey % 2 AS BIGINT) AS library_id, s_suppkey * 10 + {k} AS id, s_suppkey AS provider_id,
+       CASE WHEN s_suppkey % 7 = {k} THEN 'error' ELSE 'ok' END AS status, {'false' if k == 1 else 'true'} AS is_full,
+       CAST('2024-01-0{k + 1} 00:00:00' AS TIMESTAMP) AS started_at,
+       CAST(concat('2024-01-0{k + 1} 0', CAST(s_suppkey % 10 AS VARCHAR(2)), ':30:00') AS TIMESTAMP) AS finished_at
+FROM {{supplier}}""" for k in range(3))
 
 VIEWS["v_roots"] = """
 SELECT DISTINCT CAST(s_suppkey % 2 AS BIGINT) AS library_id,
@@ -154,23 +153,23 @@ FROM {supplier} s JOIN (SELECT s_nationkey, min(s_suppkey) AS first_key FROM {su
 """
 
 # Policies of both libraries; the clouds are suppliers 0, 6 and 3, 9, the volumes 2, 4, 8 and 1, 5, 11.
-VIEWS["v_policies"] = """
-SELECT l.library_id, c.collection, c.ord, c.keep_local, c.min_replicas, c.cloud_choice, c.pin_local, c.dest_subdir
-FROM (SELECT DISTINCT CAST(s_suppkey % 2 AS BIGINT) AS library_id FROM {supplier}) l
-JOIN (SELECT 'Archives' AS collection, 0 AS ord, 'cloud_only' AS keep_local, 1 AS min_replicas, 'specific' AS cloud_choice,
-             false AS pin_local, 'Archives' AS dest_subdir
-      UNION ALL SELECT 'Gaming Clips', 1, 'prefer', 2, 'most_free', false, 'Gaming/Clips'
-      UNION ALL SELECT 'Documents', 2, 'required', 3, 'any', false, 'Documents/'
-      UNION ALL SELECT 'default', 3, 'prefer', 1, 'most_free', true, NULL) c ON true
-"""
-VIEWS["v_members"] = """
-SELECT CAST(s_suppkey % 2 AS BIGINT) AS library_id, c.collection,
-       CASE WHEN s_suppkey % 3 = 0 THEN 'cloud' ELSE 'local' END AS role, CAST(s_suppkey AS INTEGER) AS ord, s_suppkey AS location_id
-FROM {supplier}
-JOIN (SELECT 'Archives' AS collection UNION ALL SELECT 'Gaming Clips' UNION ALL SELECT 'Documents' UNION ALL SELECT 'default') c ON true
-WHERE (s_suppkey % 3 = 0 AND ((c.collection = 'Archives' AND s_suppkey IN (0, 3)) OR (c.collection <> 'Archives' AND s_suppkey IN (0, 6, 3, 9))))
-   OR (s_suppkey % 3 <> 0 AND ((c.collection = 'Gaming Clips' AND s_suppkey IN (2, 1)) OR (c.collection = 'Documents' AND s_suppkey IN (4, 8, 5, 11))))
-"""
+_POLICIES = (
+    "'Archives' AS collection, 0 AS ord, 'cloud_only' AS keep_local, 1 AS min_replicas, 'specific' AS cloud_choice, "
+    "false AS pin_local, 'Archives' AS dest_subdir",
+    "'Gaming Clips', 1, 'prefer', 2, 'most_free', false, 'Gaming/Clips'",
+    "'Documents', 2, 'required', 3, 'any', false, 'Documents/'",
+    "'default', 3, 'prefer', 1, 'most_free', true, NULL",
+)
+VIEWS["v_policies"] = " UNION ALL ".join(
+    f"SELECT DISTINCT CAST(s_suppkey % 2 AS BIGINT) AS library_id, {row} FROM {{supplier}}" for row in _POLICIES)
+
+_MEMBERS = (
+    ("Archives", "cloud", "0, 3"), ("Gaming Clips", "cloud", "0, 6, 3, 9"), ("Documents", "cloud", "0, 6, 3, 9"), ("default", "cloud", "0, 6, 3, 9"),
+    ("Gaming Clips", "local", "2, 1"), ("Documents", "local", "4, 8, 5, 11"),
+)
+VIEWS["v_members"] = " UNION ALL ".join(
+    f"SELECT CAST(s_suppkey % 2 AS BIGINT) AS library_id, '{collection}' AS collection, '{role}' AS role, CAST(s_suppkey AS INTEGER) AS ord, "
+    f"s_suppkey AS location_id FROM {{supplier}} WHERE s_suppkey IN ({keys})" for collection, role, keys in _MEMBERS)
 
 VIEWS["v_plan_ops"] = """
 SELECT CAST(o_custkey % 2 AS BIGINT) AS library_id, concat('p', CAST(o_custkey AS VARCHAR(20))) AS plan_id,

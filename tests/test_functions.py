@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from stowline.functions.content import UnsupportedDigest, digest, head_digest, head_length, hydration, normal_id
 from stowline.functions.paths import basename, dirname, escape_reason, extension
 from stowline.functions.redaction import redact_map
-from stowline.functions.rules import Policy, collection_of, compile_match, example_rules
+from stowline.functions.rules import Policy, collection_of, compile_match, example_rules, with_match_inputs
 from stowline.functions.units import GIB, KIB, MIB, format_bytes
 
 
@@ -100,19 +100,19 @@ def test_first_match_and_literal_substrings(spark):
         ("/Docs/r.pdf", None, "Documents"), ("/MyArchive/x.bin", None, "default"), ("/misc/none", None, "default"), (None, None, "default"),
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, path string, mime string, want string")
-    got = df.select("i", "want", collection_of(example_rules()).alias("got")).orderBy("i").collect()
+    got = with_match_inputs(df).select("i", "want", collection_of(example_rules()).alias("got")).orderBy("i").collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
 
 
 def test_archive_needle_does_not_match_archives(spark):
     df = spark.createDataFrame([("/Archives/x.mp4", None)], "path string, mime string")
-    assert df.select(compile_match({"path_contains": "/Archive/"}).alias("m")).first()["m"] is False
+    assert with_match_inputs(df).select(compile_match({"path_contains": "/Archive/"}).alias("m")).first()["m"] is False
 
 
 def test_missing_mime_is_false_not_null(spark):
     df = spark.createDataFrame([(None, None)], "path string, mime string")
     tests = [{"mime_prefix": "video/"}, {"not": {"mime_prefix": "video/"}}, {"all": []}, {"any": []}, {"extension": ["mp4"]}, {"always": True}]
-    got = df.select(*[compile_match(m).alias(str(i)) for i, m in enumerate(tests)]).first()
+    got = with_match_inputs(df).select(*[compile_match(m).alias(str(i)) for i, m in enumerate(tests)]).first()
     assert list(got) == [False, True, True, False, False, True]
 
 
