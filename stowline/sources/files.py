@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,21 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowline.functions.content import DIGEST_ALGORITHMS, ID_ALGORITHM, UnsupportedDigest
-from stowline.functions.paths import basename
+from stowline.session import cut_lineage
 
 READ_CHUNK_BYTES = 1 << 20
+LIST_BATCH_ROWS = 10_000
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], glob: str | None = None) -> DataFrame:
-    """Path, name, size and time of files under ``roots``; bodies are never read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listing = reader.load(list(roots))
-    return listing.select(
-        "path", basename(F.col("path")).alias("name"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime_utc"),
-    )
+    """Path, name, size and time of the files under mounted ``roots``; bodies are never read.
+
+    Folders are read by executors, one level of the tree per pass, and every level is stored before the
+    next. The built-in file source would keep the whole listing on the driver, and it skips empty files.
+    Links are not followed.
+    """
+    schema = "path STRING, name STRING, is_dir BOOLEAN, size BIGINT, mtime_us BIGINT"
+    frontier = spark.createDataFrame([(r.removeprefix("file:"),) for r in roots], "path STRING")
+    found = None
+    while True:
+        level = cut_lineage(frontier.repartition("path").mapInPandas(_read_folders, schema))
+        plain = level.filter(~F.col("is_dir")).select("path", "name", "size", F.timestamp_micros("mtime_us").alias("mtime_utc"))
+        found = plain if found is None else found.unionByName(plain)
+        frontier = level.filter("is_dir").select("path")
+        if frontier.isEmpty():
+            break
+    return found.filter(F.col("name").like(glob.replace("%", "\\%").replace("_", "\\_").replace("*", "%"))) if glob else found
+
+
+def _read_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each folder, in bounded batches, so that one huge folder is never held whole."""
+    columns = ["path", "name", "is_dir", "size", "mtime_us"]
+    for batch in batches:
+        for folder in batch["path"]:
+            rows = []
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    if entry.is_symlink():
+                        continue
+                    stat = entry.stat(follow_symlinks=False)
+                    rows.append((entry.path, entry.name, entry.is_dir(follow_symlinks=False), stat.st_size, stat.st_mtime_ns // 1000))
+                    if len(rows) == LIST_BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
 
 def digest_large_files(paths: DataFrame, algos: Sequence[str] = ("md5",), partitions: int | None = None) -> DataFrame:
