@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.paths import escape_reason
+from stowline.scale import skew_join
 from stowline.session import cut_lineage
 
 NODE = ["library_id", "ref"]
@@ -87,7 +88,7 @@ def public_items(items: DataFrame, folders: DataFrame, acl: DataFrame) -> DataFr
     """
     up = public_folders(folders, acl).filter(F.col("public_ref").isNotNull()).withColumnRenamed("ref", "parent_ref")
     own = acl.filter(F.col("principal").isin(*PUBLIC_PRINCIPALS)).select(*NODE).distinct().withColumn("_own", F.lit(True))
-    joined = items.join(own, NODE, "left").join(up, ["library_id", "parent_ref"], "left")
+    joined = skew_join(items.join(own, NODE, "left"), up, ["library_id", "parent_ref"], "left")
     nearest = F.when(F.col("_own"), F.col("ref")).otherwise(F.col("public_ref"))
     return joined.withColumn("public_at", nearest).filter(F.col("public_at").isNotNull()).drop("_own", "public_ref")
 

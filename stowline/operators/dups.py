@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.operators.identity import BLOB_KEY
-from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in
+from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in, skew_join
 
 
 def confirmed_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
@@ -25,7 +25,7 @@ def confirmed_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "con
 def dup_members(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
     """The files of the confirmed groups, one row each, instead of a list per group."""
     groups = contents.groupBy(*key).agg(F.count(F.lit(1)).alias("replicas")).filter(F.col("replicas") > 1)
-    return contents.join(groups, list(key))
+    return skew_join(contents, groups, key, "inner")
 
 
 def suspect_dups(files: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def suspect_members(files: DataFrame) -> DataFrame:
     """The files of the suspect groups, one row each."""
     keyed = files.filter((F.col("kind") == "byte") & F.col("size").isNotNull()).withColumn("folded_name", F.lower("name"))
     groups = suspect_dups(files).select("library_id", "size", "folded_name", "files")
-    return keyed.join(groups, ["library_id", "size", "folded_name"])
+    return skew_join(keyed, groups, ["library_id", "size", "folded_name"], "inner")
 
 
 def cross_location_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
@@ -65,7 +65,7 @@ def extra_local(replicas: DataFrame, keep_first: Column | None = None, rows_per_
         F.count(F.lit(1)).alias("verified"), F.count_if(F.col("location_kind") == "volume").alias("local_verified"))
     counts = counts.filter((F.col("verified") > 1) & (F.col("local_verified") > 1))
     local = good.filter((F.col("location_kind") == "volume") & ~F.coalesce(F.col("pinned"), F.lit(False)))
-    candidates = local.join(counts, BLOB_KEY).withColumn("_first", rank)
+    candidates = skew_join(local, counts, BLOB_KEY, "inner", hot_rows=rows_per_bucket).withColumn("_first", rank)
     bucketed, buckets = order_buckets(candidates, BLOB_KEY, "file_id", descending=True, rows_per_bucket=rows_per_bucket)
     if buckets:
         bucketed = bucketed.withColumn("_b0", -F.col("_first"))
@@ -89,7 +89,7 @@ def consolidate(replicas: DataFrame, dest: DataFrame, rows_per_bucket: int = ROW
         "library_id", "blob_id", F.lit(None).cast("long").alias("file_id"), F.col("dest").alias("location_id"),
         "size", F.lit("place").alias("action"))
     good = with_dest.filter(usable_verified() & (F.col("location_id") != F.col("dest")))
-    present = good.join(at_dest, BLOB_KEY, "left_semi")
+    present = skew_join(good, at_dest, BLOB_KEY, "left_semi", hot_rows=rows_per_bucket)
     action = F.when(F.col("location_kind") == "volume", "evict_candidate").otherwise("report_cloud")
     pinned = F.coalesce(F.col("pinned"), F.lit(False)) & (F.col("location_kind") == "volume")
     spare = present.filter(~pinned).select("library_id", "blob_id", "file_id", "location_id", "size", action.alias("action"))
@@ -117,7 +117,7 @@ def list_collection(files: DataFrame, cache: DataFrame, replicas: DataFrame, nam
     rows = files.join(chosen, ["library_id", "file_id"], "left_semi").join(
         replicas.select("library_id", "file_id", "blob_id", "content_id"), ["library_id", "file_id"])
     holders = replicas.groupBy(*BLOB_KEY).agg(F.count_distinct("provider_id").alias("providers"))
-    return rows.join(holders, BLOB_KEY).select(
+    return skew_join(rows, holders, BLOB_KEY, "inner").select(
         "library_id", "file_id", "path", "size", "hydration", "content_id", "providers")
 
 

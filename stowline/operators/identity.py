@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.content import content_id, digests, head_digest, head_length, normal_id
+from stowline.scale import skew_join
 
 BLOB_KEY = ["library_id", "blob_id"]
 
@@ -30,10 +31,10 @@ def prefilter_candidates(probes: DataFrame) -> DataFrame:
     """Rows that share (size, head) with another: only these need a full digest.
 
     The groups are found by an aggregate that reduces before its shuffle; the rows come back by a
-    semi-join, whose hot keys adaptive execution splits.
+    semi-join that leaves the rows of hot groups in place.
     """
     shared = probes.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "head")
-    return probes.join(shared, ["size", "head"], "left_semi")
+    return skew_join(probes, shared, ["size", "head"], "left_semi")
 
 
 def validate_content_id(df: DataFrame, column: str = "content_id") -> DataFrame:
@@ -90,7 +91,7 @@ def promote_verified(replicas: DataFrame, hashed: DataFrame) -> DataFrame:
     fate = clean.join(canonical, ["library_id", "_cid"]).select(*BLOB_KEY, "_cid", "_canonical", "_split").unionByName(
         of_blob.filter("_split").select(*BLOB_KEY, F.lit(None).cast("string").alias("_cid"),
                                         F.lit(None).cast("long").alias("_canonical"), "_split"))
-    out = known.withColumn("_hashed", F.col("content_id").isNotNull()).join(fate, BLOB_KEY, "left")
+    out = skew_join(known.withColumn("_hashed", F.col("content_id").isNotNull()), fate, BLOB_KEY, "left")
     conflict = F.coalesce("_split", F.lit(False))
     return out.select(
         "library_id", "file_id", F.coalesce("_canonical", "blob_id").alias("blob_id"),

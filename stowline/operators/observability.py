@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions.redaction import redact_map, redact_value
 from stowline.functions.units import MIB
-from stowline.scale import lookup_join
+from stowline.scale import lookup_join, skew_join
 
 DAYS_KEPT = 7
 PATH_LEVELS = ("DEBUG", "TRACE")
@@ -111,4 +111,4 @@ def path_leak_audit(logs: DataFrame, files: DataFrame) -> DataFrame:
     loud = logs.filter(~F.upper(F.coalesce("level", F.lit("INFO"))).isin(*PATH_LEVELS))
     values = loud.select("log_id", "level", F.explode("fields").alias("field", "path"))
     known = files.select("path").distinct()
-    return values.join(known, "path", "left_semi").select("log_id", "level", "field", "path")
+    return skew_join(values, known, ["path"], "left_semi").select("log_id", "level", "field", "path")

@@ -9,7 +9,7 @@ from stowline.operators.dups import usable_verified
 from stowline.operators.identity import BLOB_KEY
 from stowline.operators.policy import dest_conflicts
 from stowline.plans.simulate import PLAN
-from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, position_bucket, rank_in, running_sum
+from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, position_bucket, rank_in, running_sum, skew_join
 
 
 def space_ledger(ops: DataFrame, locations: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -138,7 +138,7 @@ def authorise_delete(evicts: DataFrame, replicas: DataFrame, rows_per_bucket: in
     stands = usable_verified() & ((F.col("location_kind") == "volume") | (F.col("binding") == "bound"))
     counted = replicas.filter(stands).groupBy(*BLOB_KEY).agg(F.count(F.lit(1)).alias("counted"))
     own = replicas.select("library_id", "file_id", stands.alias("_self"), (F.col("location_kind") == "volume").alias("_local"))
-    rows = evicts.join(own, ["library_id", "file_id"], "left").join(counted, BLOB_KEY, "left")
+    rows = skew_join(evicts.join(own, ["library_id", "file_id"], "left"), counted, BLOB_KEY, "left", hot_rows=rows_per_bucket)
     rows = rows.withColumn("_self", F.coalesce("_self", F.lit(False)))
     rows, buckets = order_buckets(rows, BLOB_KEY, "file_id", rows_per_bucket=rows_per_bucket)
     ranked = rank_in(rows, BLOB_KEY, [F.col("file_id")], "evict_no", buckets)

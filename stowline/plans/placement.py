@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stowline.operators.capacity import with_usable
 from stowline.operators.dups import usable_verified
 from stowline.operators.identity import BLOB_KEY
-from stowline.scale import lookup_join
+from stowline.scale import lookup_join, skew_join
 
 
 def readable() -> Column:
@@ -57,7 +57,8 @@ def can_evict(goals: DataFrame, replicas: DataFrame, needs: DataFrame, placement
     outside = local.join(goals.select(*BLOB_KEY, F.col("dest").alias("location_id")), [*BLOB_KEY, "location_id"], "left_anti")
     to_cloud = needs.filter((F.col("dest_kind") == "cloud") & ~F.col("no_source")).select(*BLOB_KEY).distinct().withColumn(
         "_cloud", F.lit(True))
-    joined = outside.join(rules, BLOB_KEY).join(n_goals, BLOB_KEY).join(verified, BLOB_KEY).join(to_cloud, BLOB_KEY, "left")
+    per_blob = rules.join(n_goals, BLOB_KEY).join(verified, BLOB_KEY).join(to_cloud, BLOB_KEY, "left")
+    joined = skew_join(outside, per_blob, BLOB_KEY, "inner")
     return joined.filter((F.col("verified") > 1) | F.col("_cloud")).drop("verified", "_cloud")
 
 

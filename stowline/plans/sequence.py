@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stowline.operators.capacity import DEFAULT_RESERVE, staging_candidates
 from stowline.operators.dups import usable_verified
 from stowline.operators.identity import BLOB_KEY
-from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in, running_sum
+from stowline.scale import ROWS_PER_BUCKET, hot_keys, lookup_join, order_buckets, rank_in, running_sum, skew_join
 from stowline.session import cut_lineage
 
 RESOURCE = ["library_id", "dest"]
@@ -90,8 +90,9 @@ class Sequencer:
         spare, self.evict_buckets = order_buckets(spare, BLOB_KEY, "file_id", rows_per_bucket=rows_per_bucket)
         self.evicts = cut_lineage(spare)
         touched = spare.select(*BLOB_KEY).distinct()
-        self.verified = cut_lineage(replicas.filter(usable_verified()).groupBy(*BLOB_KEY).agg(
-            F.count(F.lit(1)).alias("verified")).join(touched, BLOB_KEY, "left_semi"))
+        self.hot_blobs = hot_keys(self.evicts, BLOB_KEY, rows_per_bucket) if self.evict_buckets else None
+        counts = replicas.filter(usable_verified()).groupBy(*BLOB_KEY).agg(F.count(F.lit(1)).alias("verified"))
+        self.verified = cut_lineage(touched.join(counts, BLOB_KEY, "left"))
 
     def done_needs(self) -> DataFrame:
         out = None
@@ -151,9 +152,10 @@ class Sequencer:
                 "library_id", F.col("src_file_id").alias("file_id"))
             reading = part if reading is None else reading.unionByName(part)
         reading = reading.distinct().withColumn("_read", F.lit(True))
-        rows = self.evicts
-        for side in (self.verified, gained, lost, unmet):
-            rows = rows.join(side, BLOB_KEY, "left")
+        per_blob = self.verified
+        for side in (gained, lost, unmet):
+            per_blob = per_blob.join(side, BLOB_KEY, "left")
+        rows = skew_join(self.evicts, per_blob, BLOB_KEY, "left", self.hot_blobs, None)
         rows = rows.join(reading, ["library_id", "file_id"], "left")
         zero = F.lit(0).cast("long")
         have = F.coalesce("verified", zero) + F.coalesce("_gain", zero) - F.coalesce("_loss", zero)

@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowline.session import cut_lineage
+
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 BROADCAST_ROWS = 200_000
@@ -31,6 +33,35 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "l
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = ROWS_PER_BUCKET) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, stored; None when there are none.
+
+    There are at most ``rows / hot_rows`` of them, which bounds what :func:`skew_join` broadcasts.
+    """
+    found = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
+    stored = cut_lineage(found)
+    return None if stored.isEmpty() else stored
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", hot: DataFrame | None = None,
+              hot_rows: int | None = ROWS_PER_BUCKET) -> DataFrame:
+    """Join ``big`` to ``small``, which holds at most one row per key, without shuffling the rows of hot keys.
+
+    Adaptive execution does not split a join side that an aggregate has just shuffled by the same key.
+    Here the few hot keys of ``big`` are found first; their rows stay where they are and meet their
+    ``small`` rows by broadcast, and only the rest is shuffled. ``hot_rows=None`` takes ``hot`` as given.
+    """
+    on = list(on)
+    if hot is None and hot_rows is not None:
+        hot = hot_keys(big, on, hot_rows)
+    if hot is None:
+        return big.join(small, on, how)
+    few = F.broadcast(hot)
+    cold = big.join(few, on, "left_anti").join(small, on, how)
+    warm = big.join(few, on, "left_semi").join(F.broadcast(small.join(few, on, "left_semi")), on, how)
+    return cold.unionByName(warm)
+
+
 def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
 

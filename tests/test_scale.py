@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stowline.scale import lookup_join, order_buckets, position_bucket, previous_in, rank_in, running_sum
+from stowline.scale import hot_keys, lookup_join, order_buckets, position_bucket, previous_in, rank_in, running_sum, skew_join
 
 
 def skewed(spark, n=600, seed=7):
@@ -59,3 +59,18 @@ def test_lookup_join_beyond_and_within_the_broadcast_bound(spark, how, limit):
     got = lookup_join(big, dim, ["g"], how, broadcast_rows=limit)
     want = big.join(dim, ["g"], how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot_rows", [20, 40, 10_000])
+def test_skew_join(spark, how, hot_rows):
+    big = skewed(spark, 240)
+    small = spark.createDataFrame([(g, f"n{g}") for g in (0, 2, 5, 99)], "g long, name string")
+    got = skew_join(big, small, ["g"], how, hot_rows=hot_rows)
+    want = big.join(small, ["g"], how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_hot_keys_are_few_and_exact(spark):
+    assert [r["g"] for r in hot_keys(skewed(spark, 240), ["g"], 40).collect()] == [0]
+    assert hot_keys(skewed(spark, 240), ["g"], 1000) is None
