@@ -79,9 +79,9 @@ def test_hydration(spark):
 
 def test_redaction(spark):
     fields = {
-        "token": "hunter2", "access_token": "x", "Authorization": "y", "client_secret": "z", "MY_API_KEY": "k", "password": "p",
-        "session_uri": "https://h/dl?sig=SECRET&x=1", "url": "https://h/plain", "HREF": "a?b?c", "plan_id": "file-plan-7f3c",
-        "msg": "Authorization: Bearer abc to api", "two": "Bearer abc Bearer def", "quoted": "'Bearer abc'", "note": "https://h/?q=1",
+        "token": "one", "access_token": "x", "Authorization": "y", "client_secret": "z", "MY_API_KEY": "k", "password": "p",
+        "session_uri": "https://h/dl?sig=SECRET&x=1", "url": "https://h/plain", "HREF": "a?b?c", "plan_id": "plan-11aa",
+        "msg": "Authorization: Bearer one to api", "two": "Bearer one Bearer two", "quoted": "'Bearer abc'", "note": "https://h/?q=1",
         "empty": "Bearer  x", "none": None,
     }
     got = spark.createDataFrame([(fields,)], "f map<string,string>").select(redact_map(F.col("f")).alias("f")).first()["f"]
@@ -89,7 +89,7 @@ def test_redaction(spark):
     assert {k for k, v in got.items() if v == "[REDACTED]"} == masked
     assert got["session_uri"] == "https://h/dl?[REDACTED]" and got["url"] == "https://h/plain" and got["HREF"] == "a?[REDACTED]"
     assert got["msg"] == "Authorization: Bearer [REDACTED] to api" and got["two"] == "Bearer [REDACTED] Bearer [REDACTED]"
-    assert got["quoted"] == "'Bearer [REDACTED]'" and got["note"] == "https://h/?q=1" and got["plan_id"] == "file-plan-7f3c"
+    assert got["quoted"] == "'Bearer [REDACTED]'" and got["note"] == "https://h/?q=1" and got["plan_id"] == "plan-11aa"
     assert got["empty"] == "Bearer [REDACTED] x" and got["none"] is None
 
 
