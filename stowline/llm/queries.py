@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowline.llm.common import table
+from stowline.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
