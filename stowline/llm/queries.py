@@ -39,3 +39,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op4_minhash_forest")
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.minhash_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)

@@ -52,7 +52,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    rows = [(i, f"all fine here {i}") for i in range(40)] + [(100 + i, f"you utter moron {i}") for i in range(40)]
+    rows = [(i, f"all fine here {i}") for i in range(40)] + [(100 + i, f"all moron here {i}") for i in range(40)]
     rows += [(900, None), (901, ""), (902, " \n"), (None, "x"), (903, "fine " * 30_000 + "moron"), (903, "fine"), (904, "z" * 9000)]
     docs = docs_frame(spark, rows)
     labels = spark.createDataFrame([(d, 1, int(d >= 100)) for d, _ in rows if d is not None and d < 900] + [(None, 1, 1), (5, 1, None)],
