@@ -46,3 +46,10 @@ def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowline.llm.minhash_forest import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)

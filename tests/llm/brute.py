@@ -45,3 +45,22 @@ def near_duplicates(rows, size, percent=80):
                     x, y = sorted((find(a), find(b)))
                     root[y] = x
     return {(d, len(s), find(d), find(d) == d) for d, s in sets.items()}
+
+
+def repeats(rows, length, keep_first=False):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept)] by a table of all strings of ``length`` bytes."""
+    bodies = [(d, (t or "").encode()) for d, t in rows]
+    seen = defaultdict(list)
+    for n, (_, b) in sorted(enumerate(bodies), key=lambda r: (r[1][0] is not None, r[1][0] or 0)):
+        for s in range(len(b) - length + 1):
+            seen[b[s:s + length]].append((n, s))
+    gone = [bytearray(len(b)) for _, b in bodies]
+    for places in seen.values():
+        if len(places) > 1:
+            for n, s in places[keep_first:]:
+                gone[n][s:s + length] = b"\x01" * length
+    out = []
+    for (d, b), mask in zip(bodies, gone):
+        spans = sum(m and (i == 0 or not mask[i - 1]) for i, m in enumerate(mask))
+        out.append((d, len(b), sum(mask), spans, bytes(x for x, m in zip(b, mask) if not m)))
+    return out
