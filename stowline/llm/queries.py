@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stowline.llm import decontaminate, line_templates
 from stowline.llm.common import remainder, table
+from stowline.scale import lookup_join
+from stowline.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +57,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowline.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+@query("op6_line_templates", oracle=line_templates.oracle())
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = cut_lineage(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    marked = lookup_join(docs.select("doc_id", F.xxhash64("text").alias("t")), found.select("t").distinct(), ["t"], "left_semi")
+    return marked.join(found, "t").select("doc_id", "item_id", "start", "shared", "total")
