@@ -71,3 +71,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_lineage(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
     marked = lookup_join(docs.select("doc_id", F.xxhash64("text").alias("t")), found.select("t").distinct(), ["t"], "left_semi")
     return marked.join(found, "t").select("doc_id", "item_id", "start", "shared", "total")
+
+
+@query("op7_lattice_lm")
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stowline.llm.lattice_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
