@@ -80,3 +80,11 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowline.llm.lattice_lm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op1_posting_lists")
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.posting_lists import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"))
