@@ -27,7 +27,9 @@ MOST_LISTS = 2048
 DEGREE = 24
 BEAM = 64
 COPIES, CLOSURE = 4, 1.15
-RATIO, LEAST_LISTS, PROBES = 1.35, 16, 96
+RATIO, LEAST_LISTS = 1.4, 16
+#: At most so many lists are read, or a fifth of all if that is more.
+PROBES, PROBE_SHARE = 128, 5
 PART_ROWS, CHUNK_ROWS = 5000, 2000
 
 
@@ -85,7 +87,7 @@ class Lists:
 
     def routes(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
         """(row, list): lists within the distance ratio, the nearest ``LEAST_LISTS`` in any case."""
-        order, far = self.nearest(x, PROBES)
+        order, far = self.nearest(x, max(PROBES, len(self.centroids) // PROBE_SHARE))
         take = (far <= RATIO * far[:, :1]) & np.isfinite(far)
         take[:, :LEAST_LISTS] = np.isfinite(far[:, :LEAST_LISTS])
         for row, at in zip(*np.nonzero(take)):

@@ -181,14 +181,17 @@ def previous_factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _starts(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of contexts (t, lo, body), and for each start its place in them, its text and its place in that."""
-    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-    sizes = np.array([len(r[2]) for r in rows])
-    counts = sizes - length + 1
+    """Bytes of contexts (t, lo, body), equal bodies once, and for each start its place in them, its text and its place in that."""
+    number: dict[bytes, int] = {}
+    own = np.array([number.setdefault(r[2], len(number)) for r in rows])
+    data = np.frombuffer(b"".join(number), np.uint8)
+    sizes = np.array([len(body) for body in number])
+    begin = (np.cumsum(sizes) - sizes)[own]
+    counts = sizes[own] - length + 1
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     owner = np.repeat(np.arange(len(rows)), counts)
     texts, first = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    return data, (np.cumsum(sizes) - sizes)[owner] + inner, texts[owner], first[owner] + inner
+    return data, begin[owner] + inner, texts[owner], first[owner] + inner
 
 
 def _spans(rank: np.ndarray, texts: np.ndarray, places: np.ndarray, length: int) -> pa.RecordBatch:
