@@ -8,9 +8,14 @@ from stowline.llm import stages
 from stowline.session import new_folder
 
 STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("line_dedup", stages.drop_lines),
+    ("near_dedup", stages.drop_near_duplicates),
+    ("decontamination", stages.drop_leaks),
     ("encode", stages.encode),
 ]
 
+#: A trained classifier, MinHash and BPE have no SQL form; tests/llm/test_pipeline.py holds each stage to a plain version.
 ORACLE_SQL = None
 
 

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import WORD_SPLIT, pick
-from stowline.scale import lookup_join
+from stowline.llm.common import WORD_SPLIT, checked_join, pick
 from stowline.session import cut_lineage
 
 BITS = 64
@@ -62,11 +61,11 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, t
     and the weighted shingles shared and in either; 100 * shared >= percent * total. t is the xxhash64 of the text.
 
     Null and empty texts and items match nothing; an item of fewer words than ``size`` is one shingle; a text shorter
-    than an item is its own window; repeated texts are looked at once; of equal windows the first counts; null item ids
-    match like others. Texts are read whole.
+    than an item is its own window; repeated texts are looked at once; of equal windows the first counts; items
+    without id match nothing. Texts are read whole.
     """
     own = pick(docs, x=text).where("x IS NOT NULL").withColumn("t", F.xxhash64("x"))
-    bench = cut_lineage(_hashed(pick(items, item=item_id, x=item_text), "x").where(F.size("w") > 0).withColumn("n", F.size("w")).dropDuplicates())
+    bench = cut_lineage(_hashed(pick(items, item=item_id, x=item_text).where("item IS NOT NULL"), "x").where(F.size("w") > 0).withColumn("n", F.size("w")).dropDuplicates())
     widths = sorted({min(r.n, size) for r in bench.select(F.least("n", F.lit(size)).alias("n")).distinct().collect()})
     found = None
     for width in widths:
@@ -88,11 +87,11 @@ def _of_width(own: DataFrame, bench: DataFrame, width: int, percent: int) -> Dat
     texts = _shingled(_hashed(own, "x"), width)
     # The outer form: for the inner one Catalyst adds a filter on the array's size, which inlines the words per shingle.
     places = texts.select("t", F.size("w").alias("words"), "s").select("t", "words", F.posexplode_outer("s").alias("p", "h")).where("h IS NOT NULL")
-    hits = lookup_join(places, offsets, ["h"], "inner").select("t", "words", "p", F.explode("at").alias("a"))
+    hits = checked_join(places, offsets, ["h"], "inner").select("t", "words", "p", F.explode("at").alias("a"))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("a.offset"), F.col("words") - F.col("a.n")))
     windows = cut_lineage(hits.select("t", F.col("a.n").alias("n"), start.alias("start")).distinct())
     grouped = windows.groupBy("t").agg(F.collect_list(F.struct("n", "start")).alias("found"))
-    bodies = lookup_join(own, windows.select("t").distinct(), ["t"], "left_semi").dropDuplicates(["t"])
+    bodies = checked_join(own, windows.select("t").distinct(), ["t"], "left_semi").dropDuplicates(["t"])
     cut = (
         _shingled(_hashed(bodies, "x"), width).select("t", "s").join(grouped, "t")
         .select("t", "s", F.explode("found").alias("f"))
@@ -102,7 +101,7 @@ def _of_width(own: DataFrame, bench: DataFrame, width: int, percent: int) -> Dat
     left = printed.select("t", "n", "start", "fp", F.explode(blocks("fp")).alias("k"))
     right = index.select("item", "n", F.col("fp").alias("other"), F.explode(blocks("fp")).alias("k"))
     near = (
-        lookup_join(left, cut_lineage(right.groupBy("n", "k").agg(F.collect_list(F.struct("item", "other")).alias("items"))), ["n", "k"], "inner")
+        checked_join(left, cut_lineage(right.groupBy("n", "k").agg(F.collect_list(F.struct("item", "other")).alias("items"))), ["n", "k"], "inner")
         .select("t", "n", "start", "fp", F.explode("items").alias("m"))
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m.other"))) <= RADIUS)
         .select("t", "n", "start", "m.item").distinct()
@@ -121,5 +120,5 @@ def decontaminate(docs: DataFrame, found: DataFrame, text: str = "text") -> Data
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(F.col(text)).alias("t"), F.col(text).isNotNull().alias("has"))
     texts = cut_lineage(found.select("t").distinct())
-    clean = lookup_join(rows.where("has"), texts, ["t"], "left_anti").unionByName(rows.where("NOT has"))
+    clean = checked_join(rows.where("has"), texts, ["t"], "left_anti").unionByName(rows.where("NOT has"))
     return clean.select("row.*")

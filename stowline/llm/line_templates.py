@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.scale import lookup_join
+from stowline.llm.common import checked_join
 from stowline.session import cut_lineage
 
 LEAD = 3
@@ -45,18 +45,19 @@ def templates(lines: DataFrame) -> DataFrame:
     """(t, i, template, context) of parsed lines."""
     kinds = lines.groupBy("leaf", "own").agg(F.lit(1).alias("one"))
     shared = cut_lineage(kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    inside = lookup_join(lines, shared.select("leaf"), ["leaf"], "left_semi")
-    words = inside.dropDuplicates(["leaf", "own"]).select("leaf", F.posexplode(F.split("masked", " ", -1)).alias("p", "token"))
+    inside = checked_join(lines.select("leaf", "own", "masked"), shared.select("leaf"), ["leaf"], "left_semi")
+    different = cut_lineage(inside.groupBy("leaf", "own").agg(F.first("masked").alias("masked")))
+    words = different.select("leaf", F.posexplode_outer(F.split("masked", " ", -1)).alias("p", "token"))
     counted = words.groupBy("leaf", "p", "token").agg(F.count(F.lit(1)).alias("n"))
     constant = counted.join(shared, "leaf").where("2 * n > kinds").groupBy("leaf").agg(
         F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("constants"))
-    joined = lookup_join(inside, cut_lineage(constant), ["leaf"]).withColumn("tokens", F.split("masked", " ", -1))
+    joined = different.join(constant, "leaf", "left").withColumn("tokens", F.split("masked", " ", -1))
     found = F.transform("tokens", lambda w, p: F.when(F.element_at("constants", p) == w, w).otherwise(F.lit(FIELD)))
     known = joined.withColumn("found", found).withColumn("held", F.size(F.filter(
         F.arrays_zip("tokens", "found"), lambda z: (z["tokens"] == z["found"]) & (z["tokens"] != FIELD))))
-    template = F.when(F.col("held") * 2 >= F.size("tokens"), F.xxhash64(F.array_join("found", " "))).otherwise(F.col("own"))
-    alone = lookup_join(lines, shared.select("leaf"), ["leaf"], "left_anti").select("t", "i", F.col("own").alias("template"), "context")
-    return alone.unionByName(known.select("t", "i", template.alias("template"), "context"))
+    leaf_template = known.where("held * 2 >= size(tokens)").select("leaf", "own", F.xxhash64(F.array_join("found", " ")).alias("shared"))
+    named = lines.select("t", "i", "context", "leaf", "own").join(leaf_template, ["leaf", "own"], "left")
+    return named.select("t", "i", F.coalesce("shared", "own").alias("template"), "context")
 
 
 def recurring(lines: DataFrame, min_texts: int = MIN_TEXTS, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
@@ -87,14 +88,14 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", out: str = "kept",
     placed = cut_lineage(templates(lines))
     bad = cut_lineage(recurring(placed, min_texts, min_contexts).select("template"))
     dropped = cut_lineage(
-        lookup_join(placed, bad, ["template"], "left_semi").groupBy("t").agg(F.collect_set("i").alias("gone"))
+        checked_join(placed, bad, ["template"], "left_semi").groupBy("t").agg(F.collect_set("i").alias("gone"))
     )
     every = F.split("x", "\n", -1)
     total = F.when(F.col("x").isNull(), 0).otherwise(F.size(every)).cast("bigint").alias("n_lines")
     keep = F.filter(F.transform(every, lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda z: ~F.array_contains("gone", z["i"]))
-    changed = lookup_join(rows, dropped.select("t"), ["t"], "left_semi").join(dropped, "t").select(
+    changed = checked_join(rows, dropped.select("t"), ["t"], "left_semi").join(dropped, "t").select(
         "row.*", F.array_join(F.transform(keep, lambda z: z["line"]), "\n").alias(out), total, F.size("gone").cast("bigint").alias("n_dropped"))
-    same = lookup_join(rows, dropped.select("t"), ["t"], "left_anti").select(
+    same = checked_join(rows, dropped.select("t"), ["t"], "left_anti").select(
         "row.*", F.col("x").alias(out), total, F.lit(0).cast("bigint").alias("n_dropped"))
     return changed.unionByName(same)
 

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowline.llm import decontaminate, line_templates
-from stowline.llm.common import remainder, table
-from stowline.scale import lookup_join
+from stowline.llm.common import checked_join, remainder, table
 from stowline.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +68,7 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = cut_lineage(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
-    marked = lookup_join(docs.select("doc_id", F.xxhash64("text").alias("t")), found.select("t").distinct(), ["t"], "left_semi")
+    marked = checked_join(docs.select("doc_id", F.xxhash64("text").alias("t")), found.select("t").distinct(), ["t"], "left_semi")
     return marked.join(found, "t").select("doc_id", "item_id", "start", "shared", "total")
 
 

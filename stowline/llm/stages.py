@@ -4,8 +4,39 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stowline.llm import decontaminate, line_templates, minhash_forest, toxicity
 from stowline.llm.bpe import bpe
+from stowline.llm.common import table
+from stowline.session import cut_lineage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model, trained on the labels, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    names = tuple(c for c in docs.columns if c != "doc_id")
+    return toxicity.toxicity(docs, model, keep=names).where("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines of templates that recur across them; every document stays."""
+    cut = line_templates.drop_recurring_lines(docs, out="_kept")
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("bigint")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of least id."""
+    found = minhash_forest.near_duplicates(docs, size=5, percent=80)
+    gone = cut_lineage(found.where("NOT kept").select("doc_id").distinct())
+    return minhash_forest.without(docs, gone)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import pick, pieces
+from stowline.llm.common import checked_join, pick, pieces
 from stowline.llm.shingles import mixed
-from stowline.scale import lookup_join
 from stowline.session import cut_lineage
 
 BLOCK = 1 << 20
@@ -287,17 +286,17 @@ def repeated_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def contexts(part: DataFrame) -> DataFrame:
         grouped = cut_lineage(part.groupBy("t").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found")))
-        some = lookup_join(texts, grouped.select("t"), ["t"], "left_semi")
+        some = checked_join(texts, grouped.select("t"), ["t"], "left_semi")
         return some.join(grouped, "t").select("t", "d", "x", "found").mapInArrow(
             _contexts(length), "h bigint, d bigint, t bigint, lo bigint, body binary")
 
     spans = (
-        contexts(lookup_join(found, hot, ["h"], "left_anti")).repartition("h").sortWithinPartitions("h", "d", "t", "lo")
+        contexts(checked_join(found, hot, ["h"], "left_anti")).repartition("h").sortWithinPartitions("h", "d", "t", "lo")
         .mapInArrow(_matched(length), "t bigint, s bigint, e bigint, later boolean")
     )
     if hot.isEmpty():
         return spans
-    windows = cut_lineage(contexts(lookup_join(found, hot, ["h"], "left_semi")).mapInArrow(_window_hashes(length), "w bigint, d bigint, t bigint, s bigint"))
+    windows = cut_lineage(contexts(checked_join(found, hot, ["h"], "left_semi")).mapInArrow(_window_hashes(length), "w bigint, d bigint, t bigint, s bigint"))
     place = F.struct(F.coalesce("d", F.lit(-(1 << 63))).alias("d"), "t", "s")
     twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("w", "first")
     more = windows.join(twice, "w").select("t", "s", (F.col("s") + length).alias("e"), (place != F.col("first")).alias("later"))
@@ -353,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None,
     copies = cut_lineage(own.select("d", "t", F.octet_length("x").alias("n")).where(F.col("n") >= length)
                          .groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("rep")))
     many = copies.where("copies > 1").select("t", "rep", "copies")
-    named = lookup_join(own, many, ["t"])
+    named = checked_join(own, many, ["t"])
     chosen = named.where(F.col("copies").isNull() | (F.col("d") == F.col("rep")) | F.col("rep").isNull()).select("d", "t", "x")
     spans = repeated_spans(chosen.where(F.octet_length("x") >= length), length, gram)
     if keep_first:
@@ -363,9 +362,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None,
     gone = named.where(whole).select("d", F.octet_length("x").cast("bigint").alias("n_bytes"), F.octet_length("x").cast("bigint").alias("n_removed"),
                                      F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").cast("binary").alias("kept"))
     rest = named.where(~whole).select("d", "t", "x")
-    cut = lookup_join(rest, gathered.select("t"), ["t"], "left_semi").join(gathered, "t").select("d", "x", "found").mapInArrow(
+    cut = checked_join(rest, gathered.select("t"), ["t"], "left_semi").join(gathered, "t").select("d", "x", "found").mapInArrow(
         _cut(with_text), "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    same = lookup_join(rest, gathered.select("t"), ["t"], "left_anti").select(
+    same = checked_join(rest, gathered.select("t"), ["t"], "left_anti").select(
         "d", F.octet_length("x").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
         F.sha2(F.col("x").cast("binary"), 256).alias("kept_sha256"), F.col("x").cast("binary").alias("kept"))
     out = gone.unionByName(cut).unionByName(same).withColumnRenamed("d", doc_id)
