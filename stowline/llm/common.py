@@ -43,7 +43,7 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = BATCH_BYTES) -> Iterato
         yield batch.slice(start)
 
 
-def checked_join(big: DataFrame, keys: DataFrame, on: Sequence[str], how: str, most: int = 200_000) -> DataFrame:
+def checked_join(big: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "left", most: int = 200_000) -> DataFrame:
     """Join to a narrow table of keys: by broadcast if it was counted and holds at most ``most`` rows, else by shuffle.
 
     In the shuffled form adaptive execution splits the hot keys of ``big``, as each meets one row at most.

@@ -87,3 +87,10 @@ def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query("op3_role_repair")
+def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.chat import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
