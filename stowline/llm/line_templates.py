@@ -41,22 +41,25 @@ def parsed(texts: DataFrame) -> DataFrame:
     return tokens.select("t", "i", F.xxhash64(F.size("tokens"), *lead).alias("leaf"), F.xxhash64("masked").alias("own"), "context", "masked")
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """(t, i, template, context) of parsed lines."""
-    kinds = lines.groupBy("leaf", "own").agg(F.lit(1).alias("one"))
-    shared = cut_lineage(kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    inside = checked_join(lines.select("leaf", "own", "masked"), shared.select("leaf"), ["leaf"], "left_semi")
+def templates(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """(t, i, template, context) of the parsed lines in leaves of ``min_texts`` lines or more; others can't recur."""
+    kinds = lines.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("n"))
+    busy = cut_lineage(kinds.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= min_texts).select("leaf", "kinds"))
+    placed = cut_lineage(checked_join(lines, busy.select("leaf"), ["leaf"], "left_semi"))
+    shared = busy.where("kinds > 1")
+    inside = checked_join(placed.select("leaf", "own", "masked"), shared.select("leaf"), ["leaf"], "left_semi")
     different = cut_lineage(inside.groupBy("leaf", "own").agg(F.first("masked").alias("masked")))
-    words = different.select("leaf", F.posexplode_outer(F.split("masked", " ", -1)).alias("p", "token"))
+    tokens = different.select("leaf", "own", F.transform(F.split("masked", " ", -1), lambda w: F.xxhash64(w)).alias("tokens"))
+    words = tokens.select("leaf", F.posexplode_outer("tokens").alias("p", "token"))
     counted = words.groupBy("leaf", "p", "token").agg(F.count(F.lit(1)).alias("n"))
     constant = counted.join(shared, "leaf").where("2 * n > kinds").groupBy("leaf").agg(
         F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("constants"))
-    joined = different.join(constant, "leaf", "left").withColumn("tokens", F.split("masked", " ", -1))
-    found = F.transform("tokens", lambda w, p: F.when(F.element_at("constants", p) == w, w).otherwise(F.lit(FIELD)))
-    known = joined.withColumn("found", found).withColumn("held", F.size(F.filter(
-        F.arrays_zip("tokens", "found"), lambda z: (z["tokens"] == z["found"]) & (z["tokens"] != FIELD))))
-    leaf_template = known.where("held * 2 >= size(tokens)").select("leaf", "own", F.xxhash64(F.array_join("found", " ")).alias("shared"))
-    named = lines.select("t", "i", "context", "leaf", "own").join(leaf_template, ["leaf", "own"], "left")
+    field = F.xxhash64(F.lit(FIELD))
+    found = F.transform("tokens", lambda w, p: F.when(F.element_at("constants", p) == w, w).otherwise(field))
+    known = tokens.join(constant, "leaf", "left").withColumn("found", found).withColumn(
+        "held", F.size(F.filter("found", lambda w: w != field)))
+    leaf_template = known.where("held * 2 >= size(tokens)").select("leaf", "own", F.xxhash64("found").alias("shared"))
+    named = placed.select("t", "i", "context", "leaf", "own").join(leaf_template, ["leaf", "own"], "left")
     return named.select("t", "i", F.coalesce("shared", "own").alias("template"), "context")
 
 
@@ -85,7 +88,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", out: str = "kept",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("x"), F.xxhash64(F.col(text)).alias("t"))
     have = rows.where("x IS NOT NULL").select("t", "x")
     lines = cut_lineage(parsed(have))
-    placed = cut_lineage(templates(lines))
+    placed = cut_lineage(templates(lines, min_texts))
     bad = cut_lineage(recurring(placed, min_texts, min_contexts).select("template"))
     dropped = cut_lineage(
         checked_join(placed, bad, ["template"], "left_semi").groupBy("t").agg(F.collect_set("i").alias("gone"))
