@@ -34,18 +34,28 @@ class Lattice:
 
     def __init__(self, weights: dict[str, float], stop: float) -> None:
         self.logs = {p: math.log(w) for p, w in weights.items()}
-        self.longest = max(map(len, weights), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in weights:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the pieces that end with two given characters, in order.
+        self.lengths = {two: tuple(sorted(n)) for two, n in ends.items()}
         self.stop, self.go = math.log(stop), math.log1p(-stop)
         self.byte = math.log(FLOOR)
 
     def arcs(self, text: str) -> list[list[tuple[int, float]]]:
         """For each end, the (begin, log weight) of the arcs there; a character outside the vocabulary goes by bytes."""
-        logs, longest, go = self.logs, self.longest, self.go
+        logs, lengths, go = self.logs, self.lengths, self.go
         out: list[list[tuple[int, float]]] = [[]]
         for end in range(1, len(text) + 1):
-            at = [(begin, w + go) for begin in range(max(0, end - longest), end) if (w := logs.get(text[begin:end])) is not None]
-            if text[end - 1] not in logs:
-                at.append((end - 1, (self.byte + go) * len(text[end - 1].encode("utf-8", "surrogatepass"))))
+            one = logs.get(text[end - 1])
+            at = [(end - 1, (self.byte + go) * len(text[end - 1].encode("utf-8", "surrogatepass")) if one is None else one + go)]
+            for n in lengths.get(text[max(end - 2, 0):end], ()):
+                if n > end:
+                    break
+                w = logs.get(text[end - n:end])
+                if w is not None:
+                    at.append((end - n, w + go))
             out.append(at)
         return out
 

@@ -94,3 +94,10 @@ def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowline.llm.chat import repair
 
     return repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
