@@ -32,6 +32,11 @@ def folded(path: Column) -> Column:
     return F.lower(F.rtrim(slashed(path), F.lit("/")))
 
 
+def place_key(path: Column) -> Column:
+    """One form of a path inside its location, whatever the spelling: no drive, one leading slash, folded."""
+    return F.concat(F.lit("/"), F.ltrim(F.regexp_replace(folded(path), "^[a-z]:", ""), F.lit("/")))
+
+
 def prefixes(path: Column) -> Column:
     """The folded path and each of its ancestors, as an array."""
     parts = F.split(folded(path), "/")
@@ -59,10 +64,11 @@ def escape_reason(path: Column, root: Column) -> Column:
     absolute = flat.startswith("/") | flat.rlike("^[A-Za-z]:/")
     body = F.when(has_drive, F.substring(flat, F.lit(3), F.length(flat))).otherwise(flat)
     parts = F.split(body, "/")
-    base = folded(root)
-    inside = (folded(path) == base) | folded(path).startswith(F.concat(base, F.lit("/")))
+    base, full = (F.regexp_replace(folded(p), r"(/\.)+(?=/|$)", "") for p in (root, path))
+    inside = (full == base) | full.startswith(F.concat(base, F.lit("/")))
     return (
         F.when(path.isNull(), F.lit("missing path"))
+        .when(root.isNull(), F.lit("missing root"))
         .when(F.exists(parts, lambda p: p == ".."), F.lit("parent component"))
         .when(F.exists(parts, lambda p: p.contains(":")), F.lit("colon in component"))
         .when(has_drive & ~absolute, F.lit("drive prefix"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.paths import escape_reason
@@ -12,8 +12,8 @@ from stowline.session import cut_lineage
 NODE = ["library_id", "ref"]
 MAX_DOUBLINGS = 40
 
-# Principals that make an item public.
-PUBLIC_PRINCIPALS = ("Anyone", "AnyoneWithLink", "anonymous")
+# Principals that make an item public, in lower case.
+PUBLIC_PRINCIPALS = ("anyone", "anyonewithlink", "anonymous")
 
 
 class FolderCycle(ValueError):
@@ -34,6 +34,11 @@ def _doubling(start: DataFrame, combine) -> DataFrame:
     raise FolderCycle("parent links loop, or are deeper than any real tree")
 
 
+def is_public() -> Column:
+    """The grant is to anyone; services differ in the case they write."""
+    return F.lower(F.trim("principal")).isin(*PUBLIC_PRINCIPALS)
+
+
 def ancestors(folders: DataFrame) -> DataFrame:
     """All (ref, ancestor, distance) pairs of a (library_id, ref, parent_ref) edge list.
 
@@ -64,7 +69,7 @@ def public_folders(folders: DataFrame, acl: DataFrame) -> DataFrame:
     ``acl`` holds (library_id, ref, principal). Each node carries one pointer and the best node found so
     far, so the state stays one row per node through all log-depth joins.
     """
-    granted = acl.filter(F.col("principal").isin(*PUBLIC_PRINCIPALS)).select(*NODE).distinct().withColumn(
+    granted = acl.filter(is_public()).select(*NODE).distinct().withColumn(
         "_public", F.lit(True))
     start = folders.join(granted, NODE, "left").select(
         *NODE, F.col("parent_ref").alias("ptr"), F.when(F.col("_public"), F.col("ref")).alias("public_ref"))
@@ -87,7 +92,7 @@ def public_items(items: DataFrame, folders: DataFrame, acl: DataFrame) -> DataFr
     joined once, by its parent.
     """
     up = public_folders(folders, acl).filter(F.col("public_ref").isNotNull()).withColumnRenamed("ref", "parent_ref")
-    own = acl.filter(F.col("principal").isin(*PUBLIC_PRINCIPALS)).select(*NODE).distinct().withColumn("_own", F.lit(True))
+    own = acl.filter(is_public()).select(*NODE).distinct().withColumn("_own", F.lit(True))
     joined = skew_join(items.join(own, NODE, "left"), up, ["library_id", "parent_ref"], "left")
     nearest = F.when(F.col("_own"), F.col("ref")).otherwise(F.col("public_ref"))
     return joined.withColumn("public_at", nearest).filter(F.col("public_at").isNotNull()).drop("_own", "public_ref")

@@ -12,11 +12,11 @@ from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in,
 
 
 def confirmed_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
-    """Groups of equal content with more than one replica, and the bytes the extra copies take.
+    """Groups of equal content with more than one replica, and the bytes the extra copies take; no id, no group.
 
     Fixed-width aggregates only: a group of any size is one row, reduced before the shuffle.
     """
-    return contents.groupBy(*key).agg(
+    return contents.dropna(subset=list(key)).groupBy(*key).agg(
         F.count(F.lit(1)).alias("replicas"), F.count_distinct("location_id").alias("locations"),
         F.min("file_id").alias("first_file_id"), F.max("size").alias("size"),
     ).filter(F.col("replicas") > 1).withColumn("extra_bytes", F.col("size") * (F.col("replicas") - 1))
@@ -24,7 +24,7 @@ def confirmed_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "con
 
 def dup_members(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
     """The files of the confirmed groups, one row each, instead of a list per group."""
-    groups = contents.groupBy(*key).agg(F.count(F.lit(1)).alias("replicas")).filter(F.col("replicas") > 1)
+    groups = contents.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("replicas")).filter(F.col("replicas") > 1)
     return skew_join(contents, groups, key, "inner")
 
 

@@ -126,8 +126,8 @@ def recheck_binding(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def collision_audit(rows: DataFrame, identity: Sequence[str]) -> DataFrame:
-    """Identities seen with more than one size: a hard violation."""
-    return rows.groupBy(*identity).agg(
+    """Identities seen with more than one size: a hard violation. Rows without an identity are none."""
+    return rows.dropna(subset=list(identity)).groupBy(*identity).agg(
         F.count_distinct("size").alias("sizes"), F.min("size").alias("min_size"), F.max("size").alias("max_size"),
         F.count(F.lit(1)).alias("rows"),
     ).filter(F.col("sizes") > 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions.content import hydration
 from stowline.functions.paths import dirname, extension, folded, prefixes
-from stowline.scale import lookup_join, skew_join
+from stowline.scale import lookup_join
 
 
 def exclude_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def exclude_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
     hidden = lookup_join(
         folders.withColumn("_root", F.explode(prefixes(F.col("_dir")))), targets, ["library_id", "_root"], "left_semi"
     ).select("library_id", "_dir").distinct()
-    outside = skew_join(keyed, hidden, ["library_id", "_dir"], "left_anti")
+    outside = lookup_join(keyed, hidden, ["library_id", "_dir"], "left_anti")
     named = targets.withColumnRenamed("_root", "_self")
     return lookup_join(outside, named, ["library_id", "_self"], "left_anti").select(*files.columns)
 

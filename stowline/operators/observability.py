@@ -46,18 +46,18 @@ def prometheus_text(rollup: DataFrame, prefix: str = "stowline_") -> DataFrame:
         F.struct(F.lit("0").alias("n"), F.concat_ws(" ", F.lit("# TYPE"), safe, F.col("kind")).alias("line")),
         F.struct(F.lit("1").alias("n"), F.concat_ws(" ", safe, shown).alias("line")))
     rows = rollup.filter(F.col("kind").isin("counter", "gauge")).select(section.alias("s"), "name", F.explode(lines).alias("l"))
-    return rows.select(F.concat_ws("/", "s", "name", "l.n").alias("pos"), F.col("l.line").alias("line"))
+    return rows.select(F.struct("s", "name", "l.n").alias("pos"), F.col("l.line").alias("line"))
 
 
 def retain_logs(logs: DataFrame, days: int = DAYS_KEPT) -> DataFrame:
-    """Mark rows of the newest ``days`` log days as kept and the rest as expired.
+    """Mark rows of the newest ``days`` log days, and those without a time, as kept and the rest as expired.
 
     The distinct days are a handful of rows; the log itself is not sorted.
     """
     dated = logs.withColumn("log_day", F.to_date("ts"))
     kept = dated.select("log_day").filter(F.col("log_day").isNotNull()).distinct().orderBy(F.desc("log_day")).limit(days)
     return lookup_join(dated, kept.withColumn("_kept", F.lit(True)), ["log_day"], "left").withColumn(
-        "kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
+        "kept", F.coalesce("_kept", F.col("log_day").isNull())).drop("_kept")
 
 
 def standard_metrics(files: DataFrame, ops: DataFrame, journal: DataFrame, capacity: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowline.functions.paths import basename
+from stowline.functions.paths import basename, place_key
 from stowline.functions.rules import KEEP_LOCAL, MATCH_INPUTS, Rule, collection_of, with_match_inputs
 from stowline.operators.capacity import most_free
 from stowline.operators.identity import BLOB_KEY
@@ -175,12 +175,12 @@ def dest_conflicts(needs: DataFrame, files: DataFrame) -> DataFrame:
     """Verdict per need: ``noop`` if the same blob is at the path, ``needs_manual`` if another one is there
     or a second blob of this plan targets it, else ``clear``. A need without path keeps ``no_path``.
 
-    ``files`` holds (library_id, location_id, path, blob_id), at most one row per path.
+    ``files`` holds (library_id, location_id, path, blob_id). Paths meet without their drive, leading slash and case.
     """
-    at = files.select("library_id", F.col("location_id").alias("dest"), F.lower("path").alias("_key"),
+    at = files.select("library_id", F.col("location_id").alias("dest"), place_key(F.col("path")).alias("_key"),
                       F.col("blob_id").alias("_there"))
     at = at.groupBy("library_id", "dest", "_key").agg(F.min("_there").alias("_low"), F.max("_there").alias("_high"))
-    keyed = needs.filter(F.col("dest_path").isNotNull()).withColumn("_key", F.lower("dest_path"))
+    keyed = needs.filter(F.col("dest_path").isNotNull()).withColumn("_key", place_key(F.col("dest_path")))
     rivals = keyed.groupBy("library_id", "dest", "_key").agg(
         (F.min("blob_id") != F.max("blob_id")).alias("_rivals"))
     joined = keyed.join(at, ["library_id", "dest", "_key"], "left").join(rivals, ["library_id", "dest", "_key"])
@@ -212,7 +212,7 @@ def compile_intents(intents: DataFrame, locations: DataFrame) -> tuple[DataFrame
     """Intent rows (library_id, intent_id, json) to policy rows, and the rejects with their reason.
 
     Pending questions or an unknown location reject the whole intent. ``keep_local`` defaults to
-    ``prefer``; only a named local dest makes ``required`` stand.
+    ``prefer``; only a named local dest makes ``required`` stand. An intent without collections is one row without one.
     """
     read = intents.withColumn("i", F.from_json("json", INTENT_SCHEMA))
     named = read.select("library_id", "intent_id", F.explode("i.dests").alias("d")).select(
@@ -233,7 +233,7 @@ def compile_intents(intents: DataFrame, locations: DataFrame) -> tuple[DataFrame
     keep = F.when((F.col("i.keep_local") == "required") & names_local, "required").when(
         F.col("i.keep_local") == "cloud_only", "cloud_only").otherwise("prefer")
     rows = marked.filter("reason IS NULL").select(
-        "library_id", "intent_id", F.explode("i.collections").alias("c"), keep.alias("keep_local"),
+        "library_id", "intent_id", F.explode_outer("i.collections").alias("c"), keep.alias("keep_local"),
         F.col("i.year").alias("year"), F.coalesce("i.dedup", F.lit("None")).alias("dedup"))
     policies = rows.select("library_id", "intent_id", F.col("c.name").alias("collection"),
                            F.col("c.mime_prefix").alias("mime_prefix"), "keep_local", "year", "dedup")

@@ -132,8 +132,8 @@ def authorise_delete(evicts: DataFrame, replicas: DataFrame, rows_per_bucket: in
     """Verdict per evict: permitted only while another counted copy of the blob remains.
 
     Counted are verified copies on mounted locations, except placeholders; a cloud copy counts only
-    with ``binding = 'bound'`` from a fresh stat. Evicts of one blob are numbered, so that a batch
-    cannot remove all of them.
+    with ``binding = 'bound'`` from a fresh stat. Evicts of one blob that are legal by themselves are numbered, so
+    that a batch cannot remove all of them; a refused row takes no number.
     """
     stands = usable_verified() & ((F.col("location_kind") == "volume") | (F.col("binding") == "bound"))
     counted = replicas.filter(stands).groupBy(*BLOB_KEY).agg(F.count(F.lit(1)).alias("counted"))
@@ -141,7 +141,8 @@ def authorise_delete(evicts: DataFrame, replicas: DataFrame, rows_per_bucket: in
     rows = skew_join(evicts.join(own, ["library_id", "file_id"], "left"), counted, BLOB_KEY, "left", hot_rows=rows_per_bucket)
     rows = rows.withColumn("_self", F.coalesce("_self", F.lit(False)))
     rows, buckets = order_buckets(rows, BLOB_KEY, "file_id", rows_per_bucket=rows_per_bucket)
-    ranked = rank_in(rows, BLOB_KEY, [F.col("file_id")], "evict_no", buckets)
+    legal = F.col("_self") & F.coalesce("_local", F.lit(False))
+    ranked = running_sum(rows, BLOB_KEY, [F.col("file_id")], legal.cast("long"), "evict_no", buckets)
     remaining = F.coalesce("counted", F.lit(0)) - F.col("evict_no")
     verdict = (
         F.when(~F.coalesce("_local", F.lit(False)), "refused_not_local").when(~F.col("_self"), "refused_not_verified")

@@ -12,34 +12,30 @@ from pyspark.sql import functions as F
 from stowline.session import cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 BROADCAST_ROWS = 200_000
-LOOKUP_SALTS = 32
 
 
 def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
-                broadcast_rows: int = BROADCAST_ROWS, salts: int = LOOKUP_SALTS) -> DataFrame:
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``big`` to ``dim``, which holds at most one row per key.
 
-    ``dim`` is broadcast only after its row count was checked. A larger one is replicated over
-    ``salts`` and ``big`` is salted by row hash, so that a hot key is spread over that many tasks.
+    ``dim`` is broadcast only after its row count was checked; a larger one goes through :func:`skew_join`.
     Works for inner, left, left_semi and left_anti, all of which keep each ``big`` row whole.
     """
     on = list(on)
     if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return big.join(F.broadcast(dim), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return skew_join(big, dim, on, how)
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = ROWS_PER_BUCKET) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, stored; None when there are none.
 
-    There are at most ``rows / hot_rows`` of them, which bounds what :func:`skew_join` broadcasts.
+    Beyond ``BROADCAST_ROWS`` of them the hottest are given, as :func:`skew_join` broadcasts them; it shuffles
+    the rows of all others.
     """
-    found = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
-    stored = cut_lineage(found)
+    found = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    stored = cut_lineage(found.orderBy(F.desc("_n")).limit(BROADCAST_ROWS).select(*on))
     return None if stored.isEmpty() else stored
 
 
@@ -62,10 +58,6 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "l
     return cold.unionByName(warm)
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
-
-
 def order_buckets(df: DataFrame, group: Sequence[str], lead: str, ties: str | None = None,
                   descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET
                   ) -> tuple[DataFrame, list[str]]:
@@ -74,13 +66,14 @@ def order_buckets(df: DataFrame, group: Sequence[str], lead: str, ties: str | No
     Small groups get no bucket at all. Otherwise the split points are approximate quantiles of the
     whole column: a bucket then holds about ``total / buckets`` rows over all groups together, so no
     group can exceed that in one bucket. A value of ``lead`` heavy enough to repeat among the split
-    points becomes a bucket of its own and is split further by the quantiles of ``ties``.
+    points becomes a bucket of its own and is split further by the quantiles of ``ties``. NULL has a bucket
+    where a window's order puts it: first ascending, last descending.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    biggest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(lead).isNull()).alias("empty"))
+    biggest, total, empty = sizes.agg(F.max("n"), F.sum("n"), F.max("empty")).first()
     if not biggest or biggest <= rows_per_bucket:
         return df, []
-    wanted = min(MAX_BUCKETS, math.ceil(total / rows_per_bucket) + 1)
+    wanted = math.ceil(total / rows_per_bucket) + 1
     probs = [i / wanted for i in range(1, wanted)]
     columns = [lead] + ([ties] if ties else [])
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -90,10 +83,10 @@ def order_buckets(df: DataFrame, group: Sequence[str], lead: str, ties: str | No
     out = _bucketize(df, lead, splits, "_b1")
     if descending:
         out = out.withColumn("_b1", -F.col("_b1"))
-    if not ties or not heavy:
+    if not ties or not (heavy or empty > rows_per_bucket):
         return out, ["_b1"]
     out = _bucketize(out, ties, sorted(set(points[ties])), "_b2")
-    is_heavy = F.col(lead).cast("double").isin(heavy)
+    is_heavy = F.col(lead).isNull() | F.col(lead).cast("double").isin(heavy)
     return out.withColumn("_b2", F.when(is_heavy, F.col("_b2")).otherwise(F.lit(0))), ["_b1", "_b2"]
 
 
@@ -102,7 +95,8 @@ def _bucketize(df: DataFrame, column: str, splits: list[float], out: str) -> Dat
     edges = [-math.inf, *splits, math.inf]
     model = Bucketizer(splits=edges, inputCol=source, outputCol=out, handleInvalid="keep")
     number = df.withColumn(source, F.col(column).cast("double"))
-    return model.transform(number).drop(source).withColumn(out, F.col(out).cast("int"))
+    numbered = F.when(F.col(source).isNull(), -1).otherwise(F.col(out).cast("int"))
+    return model.transform(number).withColumn(out, numbered).drop(source)
 
 
 def position_bucket(position: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
@@ -115,7 +109,7 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column], va
     """Inclusive running sum of ``value`` per group.
 
     With ``buckets`` the window runs per (group, bucket) and is shifted by the totals of the earlier
-    buckets: the only per-group window is over one row per bucket. Group keys must not be NULL.
+    buckets: the only per-group window is over one row per bucket. NULL is a group of its own.
     """
     upto = (Window.unboundedPreceding, Window.currentRow)
     if not buckets:
@@ -128,7 +122,14 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column], va
         .drop("_total")
     )
     local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-    return df.join(shift, keys).withColumn(out, F.sum(value).over(local) + F.col("_shift")).drop("_shift")
+    return _join_groups(df, shift, keys).withColumn(out, F.sum(value).over(local) + F.col("_shift")).drop("_shift")
+
+
+def _join_groups(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join to one row per group, where NULL keys meet."""
+    side = totals.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    meet = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(side, meet).drop(*[f"_of_{k}" for k in keys])
 
 
 def rank_in(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str,
@@ -153,5 +154,5 @@ def previous_in(df: DataFrame, group: Sequence[str], order: Sequence[Column], la
     )
     local = Window.partitionBy(*keys).orderBy(*order)
     first = F.row_number().over(local) == 1
-    joined = df.join(carried, keys)
+    joined = _join_groups(df, carried, keys)
     return joined.withColumn(out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(local))).drop("_carry")

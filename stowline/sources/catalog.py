@@ -20,13 +20,14 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def write_catalog(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> str:
-    """Write one table, in files of even size.
+    """Write one table, in files of even size. Overwriting replaces the libraries of ``df`` and keeps all others.
 
     The rebalance hint gathers a small library in one file and lets adaptive execution split a large one,
     so neither many tiny files nor one giant task results.
     """
     path = f"{root.rstrip('/')}/{table}"
-    conform(df, table).hint("rebalance", F.col("library_id")).write.mode(mode).partitionBy("library_id").parquet(path)
+    conform(df, table).hint("rebalance", F.col("library_id")).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").partitionBy("library_id").parquet(path)
     return path
 
 

@@ -268,7 +268,7 @@ def _(t):
 @query("authorise_delete", """
 WITH r AS (SELECT f.library_id, f.blob_id, f.file_id, f.location_kind, coalesce(f.state = 'verified' AND f.hydration <> 'placeholder' AND f.is_online
              AND (f.location_kind = 'volume' OR CASE WHEN f.blob_id % 3 = 0 THEN 'changed' ELSE 'bound' END = 'bound'), false) AS stands FROM v_files f),
-e AS (SELECT r.*, row_number() OVER (PARTITION BY library_id, blob_id ORDER BY file_id) AS evict_no FROM r)
+e AS (SELECT r.*, CAST(sum(CASE WHEN stands AND location_kind = 'volume' THEN 1 ELSE 0 END) OVER (PARTITION BY library_id, blob_id ORDER BY file_id) AS BIGINT) AS evict_no FROM r)
 SELECT e.library_id, e.blob_id, e.file_id, e.evict_no, CASE WHEN e.location_kind <> 'volume' THEN 'refused_not_local' WHEN NOT e.stands THEN 'refused_not_verified'
    WHEN coalesce(c.n, 0) - e.evict_no >= 1 THEN 'permit' ELSE 'refused_last_copy' END AS verdict
 FROM e LEFT JOIN (SELECT library_id, blob_id, count(*) AS n FROM r WHERE stands GROUP BY 1, 2) c ON c.library_id = e.library_id AND c.blob_id = e.blob_id

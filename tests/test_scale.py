@@ -46,6 +46,23 @@ def test_previous_row(spark, rows_per_bucket):
     assert sorted(map(tuple, got.select("g", "id", "before").collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("rows_per_bucket", [5, 10_000])
+def test_null_order_tie_and_group(spark, descending, rows_per_bucket):
+    rows = [(None if i % 3 == 0 else 1, i or None, None if i % 4 == 0 else i % 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, id long, size long").repartition(3)
+    order = [F.col("size").desc() if descending else F.col("size"), F.col("id")]
+    bucketed, buckets = order_buckets(df, ["g"], "size", "id", descending, rows_per_bucket)
+    assert bool(buckets) == (rows_per_bucket == 5)
+    got = rank_in(bucketed, ["g"], order, "rank", buckets).select("g", "id", "rank")
+    want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long").alias("rank"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 60
+    if not descending:
+        before = previous_in(bucketed, ["g"], order, F.struct("size", "id"), "id", "before", buckets).select("g", "id", "before")
+        lag = df.select("g", "id", F.lag("id").over(Window.partitionBy("g").orderBy(*order)).alias("before"))
+        assert sorted(map(str, before.collect())) == sorted(map(str, lag.collect()))
+
+
 def test_position_buckets(spark):
     df = spark.range(1, 11).withColumnRenamed("id", "seq")
     assert [r[0] for r in df.orderBy("seq").select(position_bucket("seq", 4)).collect()] == [0] * 4 + [1] * 4 + [2] * 2
