@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowline.llm import decontaminate, line_templates
+from stowline.llm import decontaminate, line_templates, strata_search
 from stowline.llm.common import checked_join, remainder, table
 from stowline.session import cut_lineage
 
@@ -101,3 +101,39 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowline.llm.secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_strata_search", oracle=strata_search.oracle())
+def op11_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the tail of each tenth text by hash set to repeat: with h = crc32(doc_id) and g = h div 10, if
+    h % 10 = 0 each word i >= a becomes word a + (i - a) % p, where a = g % n and p = 1 + (n - a) div (3 + g % 8)."""
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    made = docs.select("doc_id", "text", remainder("doc_id", 10).alias("h"), F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10).alias("g"))
+    made = made.withColumn("words", F.when(F.col("h") == 0, words)).withColumn("n", F.size("words"))
+    made = made.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    made = made.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("CAST((n - a) div p + 1 AS INT)")))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a")))
+    return made.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowline.llm.periodic import periodic_runs
+
+    return periodic_runs(repeated_tails(table(spark, sf_dir, "documents")),
+                         ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stowline.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                         ("n_tokens", "ids_sha256", "decoded_sha256"))
