@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.content import content_id, digests, head_digest, head_length, normal_id
+from stowline.operators.inventory import stable_key
 from stowline.scale import skew_join
+from stowline.session import cut_lineage
 
 BLOB_KEY = ["library_id", "blob_id"]
 
@@ -44,14 +46,17 @@ def validate_content_id(df: DataFrame, column: str = "content_id") -> DataFrame:
 
 
 def dirty_files(files: DataFrame, known: DataFrame) -> DataFrame:
-    """``local_full`` files that need a digest: never hashed, or file number, size or time differ."""
-    seen = known.filter(F.col("content_id").isNotNull()).select(
-        "library_id", "volume_serial", "ntfs_file_id",
-        F.col("size").alias("_size"), F.col("mtime_utc").alias("_mtime"), F.lit(True).alias("_known"))
-    local = files.filter(F.col("hydration") == "local_full")
-    joined = local.join(seen, ["library_id", "volume_serial", "ntfs_file_id"], "left")
-    same = F.col("_size").eqNullSafe(F.col("size")) & F.col("_mtime").eqNullSafe(F.col("mtime_utc"))
-    return joined.filter(F.col("_known").isNull() | ~same).select(*files.columns)
+    """``local_full`` files that need a digest: never hashed, or file number, size or time differ.
+
+    A file goes by its number on the volume, else by its location and path; of several paths of one file any that was hashed
+    with this size and time will do. One anti-join on the whole key, so a file never comes twice.
+    """
+    state = ["library_id", "_space", "_item", "_size", "_mtime"]
+    stamp = [F.coalesce(F.col("size").cast("string"), F.lit("-")).alias("_size"),
+             F.coalesce(F.unix_micros(F.col("mtime_utc").cast("timestamp")).cast("string"), F.lit("-")).alias("_mtime")]
+    hashed = known.filter(F.col("content_id").isNotNull()).select("library_id", *stable_key(), *stamp).distinct()
+    local = files.filter(F.col("hydration") == "local_full").select("*", *stable_key(), *stamp)
+    return local.join(hashed, state, "left_anti").select(*files.columns)
 
 
 def attach_bindings(files: DataFrame, checksums: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def promote_verified(replicas: DataFrame, hashed: DataFrame) -> DataFrame:
     replicas that were not hashed follow the merge but keep their state. The lowest blob id survives.
     A blob whose replicas hash to different ids is left alone and flagged as ``conflict``.
     """
-    known = replicas.join(hashed, ["library_id", "file_id"], "left")
+    known = replicas.drop("content_id").join(hashed, ["library_id", "file_id"], "left")
     of_blob = known.filter(F.col("content_id").isNotNull()).groupBy(*BLOB_KEY).agg(
         F.min("content_id").alias("_cid"), (F.min("content_id") != F.max("content_id")).alias("_split"))
     clean = of_blob.filter(~F.col("_split"))
@@ -101,6 +106,41 @@ def promote_verified(replicas: DataFrame, hashed: DataFrame) -> DataFrame:
     )
 
 
+def merge_run(replicas: DataFrame, hashed: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merge the digests of one run into the stored tables; gives the new ``replicas`` and ``blobs``.
+
+    ``replicas``: (library_id, file_id, origin, digest, blob_id, state, conflict), where ``origin`` is the blob that the file
+    was listed with, and a file new in this run has a NULL ``blob_id``. ``hashed``: (library_id, file_id, content_id), of which
+    the greatest counts. ``blobs``: (library_id, content_id, blob_id), one row per content, which earlier runs gave.
+
+    A digest tells its file's content for good, so a hashed file belongs to the blob of that content. Its unhashed
+    siblings of the same origin follow, still suspect, while the origin's digests agree; when they part, the siblings fall
+    back to blobs of their own (id = file id) and the origin's files are flagged ``conflict``. A content that is stored keeps
+    its blob id; a new one takes its lowest agreeing origin, or else its lowest file id. Only files of origins that the run
+    touches are computed again, so a run costs what it changes; runs in any split give the same groups of files.
+    """
+    file, source = ["library_id", "file_id"], ["library_id", "origin"]
+    fresh = hashed.filter(F.col("content_id").isNotNull()).groupBy(*file).agg(F.max("content_id").alias("_new"))
+    seen = cut_lineage(replicas.join(fresh, file, "left"))
+    touched = cut_lineage(seen.filter(F.col("_new").isNotNull() | F.col("blob_id").isNull()).select(*source).distinct())
+    rest = skew_join(seen, touched, source, "left_anti").drop("_new")
+    open_rows = cut_lineage(skew_join(seen, touched, source, "left_semi").withColumn("digest", F.coalesce("_new", "digest")).drop("_new"))
+    told = open_rows.filter(F.col("digest").isNotNull())
+    fate = told.groupBy(*source).agg(F.min("digest").alias("_only"), (F.min("digest") != F.max("digest")).alias("_split"))
+    named = skew_join(told, fate, source, "inner").groupBy("library_id", F.col("digest").alias("content_id")).agg(
+        F.coalesce(F.min(F.when(~F.col("_split"), F.col("origin"))), F.min("file_id")).alias("blob_id"))
+    all_blobs = cut_lineage(blobs.unionByName(named.join(blobs, ["library_id", "content_id"], "left_anti").select(*blobs.columns)))
+    placed = skew_join(open_rows, fate, source, "left").withColumn("_split", F.coalesce("_split", F.lit(False)))
+    placed = placed.withColumn("content_id", F.coalesce("digest", F.when(~F.col("_split"), F.col("_only"))))
+    ids = all_blobs.select("library_id", "content_id", F.col("blob_id").alias("_blob"))
+    keyed = skew_join(placed.filter(F.col("content_id").isNotNull()), ids, ["library_id", "content_id"], "left").unionByName(
+        placed.filter(F.col("content_id").isNull()).withColumn("_blob", F.lit(None).cast("long")))
+    done = keyed.select(
+        *file, "origin", "digest", F.coalesce(F.col("_blob"), F.when(F.col("_split"), F.col("file_id")).otherwise(F.col("origin"))).alias("blob_id"),
+        F.when(F.col("digest").isNotNull(), "verified").otherwise("suspect").alias("state"), F.col("_split").alias("conflict"))
+    return cut_lineage(rest.select(*done.columns).unionByName(done)), all_blobs
+
+
 def verify_native(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """Per op: ``match`` needs at least one shared algorithm and all shared ones equal."""
     have = returned.select("op_id", "algo", F.lower("hex").alias("_got")).filter(F.col("_got").isNotNull())

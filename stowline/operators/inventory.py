@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stowline.functions.content import hydration
 from stowline.functions.paths import dirname, extension, folded, prefixes
-from stowline.scale import lookup_join
+from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in
+from stowline.session import cut_lineage
 
 
 def exclude_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
@@ -59,11 +60,12 @@ def apply_delta(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("l
 
     ``changes`` carries ``change_no`` (increasing per item) and ``is_deleted``. An aggregate, not a
     window: rows are reduced before the shuffle, so an item changed a billion times is no hot task.
+    Of equal change numbers a removal wins, then the greatest row, so that the result is always the same.
     """
     state = base.withColumn("change_no", F.lit(-1).cast("long")).withColumn("is_deleted", F.lit(False))
     merged = state.unionByName(changes.select(*state.columns))
     payload = [c for c in state.columns if c not in keys]
-    latest = merged.groupBy(*keys).agg(F.max_by(F.struct(*payload), "change_no").alias("row"))
+    latest = merged.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct("change_no", "is_deleted", *payload)).alias("row"))
     rest = [F.col(f"row.{c}").alias(c) for c in base.columns if c not in keys]
     return latest.filter(~F.col("row.is_deleted")).select(*keys, *rest)
 
@@ -78,14 +80,31 @@ def stable_key() -> list:
     ]
 
 
-def diff_snapshots(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """One row per file of either snapshot: new, missing, renamed, changed or unchanged."""
+def diff_snapshots(prev: DataFrame, curr: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """One row per path of either snapshot: new, missing, renamed, changed or unchanged.
+
+    Several paths may share one file number (hard links). Equal paths of a file meet first; only what is left of a file,
+    old paths and new ones, is paired, by the rank of the paths' digests on either side, and each pair is a rename. So a
+    link that stays is never taken for a renamed one, and n old and m new paths give max(n, m) rows. A number that a broken
+    volume gives to all its files is ranked in buckets. ``prev`` and ``curr`` hold one row per path of a volume.
+    """
     fields = ["path", "size", "mtime_utc"]
+    place = ["library_id", "_space", "_item"]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select("library_id", *stable_key(), F.struct(*fields).alias(tag))
-
-    both = side(prev, "old").join(side(curr, "new"), ["library_id", "_space", "_item"], "full")
+        return df.select("library_id", *stable_key(), F.col("path").alias("_path"), F.struct(*fields).alias(tag))
+
+    met = side(prev, "old").join(side(curr, "new"), [*place, "_path"], "full")
+    kept = met.filter(F.col("old").isNotNull() & F.col("new").isNotNull()).select("library_id", "old", "new")
+    left = met.filter(F.col("old").isNull() | F.col("new").isNull()).select(
+        *place, F.col("old").isNull().alias("_side"), F.md5(F.col("_path").cast("binary")).alias("_by"),
+        F.conv(F.substring(F.md5(F.col("_path").cast("binary")), 1, 12), 16, 10).cast("long").alias("_lead"), "_path", "old", "new")
+    left = cut_lineage(left)
+    group = [*place, "_side"]
+    left, buckets = order_buckets(left, group, "_lead", rows_per_bucket=rows_per_bucket)
+    ranked = rank_in(left, group, [F.col("_lead"), F.col("_by"), F.col("_path")], "_rank", buckets)
+    paired = ranked.groupBy(*place, "_rank").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    both = kept.unionByName(paired.select("library_id", "old", "new"))
     same = F.col("old.size").eqNullSafe(F.col("new.size")) & F.col("old.mtime_utc").eqNullSafe(F.col("new.mtime_utc"))
     change = (
         F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing")

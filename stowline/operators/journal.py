@@ -45,18 +45,25 @@ def edge_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(edges, "from_state STRING, to_state STRING")
 
 
+def op_key(rows: DataFrame) -> list[str]:
+    """Ops are told apart by library and id; a journal of one library may leave out the library."""
+    return [c for c in ("library_id", "op_id") if c in rows.columns]
+
+
 def latest_state(transitions: DataFrame) -> DataFrame:
     """Newest transition per op, ties by id; reduced before the shuffle. Works on streams too."""
-    rest = [c for c in transitions.columns if c != "op_id"]
-    newest = transitions.groupBy("op_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "event_id")).alias("s"))
-    return newest.select("op_id", *[F.col(f"s.{c}").alias(c) for c in rest])
+    key = op_key(transitions)
+    rest = [c for c in transitions.columns if c not in key]
+    newest = transitions.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("updated_at", "event_id")).alias("s"))
+    return newest.select(*key, *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
 def journal_status(transitions: DataFrame, states: tuple[str, ...] = STATES) -> DataFrame:
     """Ops per plan and latest state, one column per state, and how many are in flight."""
     now = latest_state(transitions)
-    counts = now.groupBy("plan_id").pivot("state", list(states)).agg(F.count(F.lit(1)))
-    filled = counts.select("plan_id", *[F.coalesce(F.col(s), F.lit(0).cast("long")).alias(s) for s in states])
+    plan = [c for c in ("library_id", "plan_id") if c in now.columns]
+    counts = now.groupBy(*plan).pivot("state", list(states)).agg(F.count(F.lit(1)))
+    filled = counts.select(*plan, *[F.coalesce(F.col(s), F.lit(0).cast("long")).alias(s) for s in states])
     flying = [F.col(s) for s in states if s not in TERMINAL and s != "NotStarted"]
     total = F.lit(0).cast("long")
     for column in flying:
@@ -67,14 +74,15 @@ def journal_status(transitions: DataFrame, states: tuple[str, ...] = STATES) ->
 def transition_audit(transitions: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Transitions that are not allowed, with the state before; an op starts from ``NotStarted``."""
     spark = transitions.sparkSession
+    key = op_key(transitions)
     stamped = transitions.withColumn("_at", F.unix_micros(F.col("updated_at").cast("timestamp")))
-    stamped, buckets = order_buckets(stamped, ["op_id"], "_at", "event_id", rows_per_bucket=rows_per_bucket)
-    moved = previous_in(stamped, ["op_id"], [F.col("_at"), F.col("event_id")], F.struct("_at", "event_id"), "state",
+    stamped, buckets = order_buckets(stamped, key, "_at", "event_id", rows_per_bucket=rows_per_bucket)
+    moved = previous_in(stamped, key, [F.col("_at"), F.col("event_id")], F.struct("_at", "event_id"), "state",
                         "from_state", buckets)
     steps = moved.withColumn("from_state", F.coalesce("from_state", F.lit("NotStarted"))).withColumn("to_state", F.col("state"))
     real = steps.filter(F.col("from_state") != F.col("to_state"))
     return lookup_join(real, edge_table(spark), ["from_state", "to_state"], "left_anti").select(
-        "op_id", "event_id", "from_state", "to_state")
+        *key, "event_id", "from_state", "to_state")
 
 
 def needs_attention(transitions: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.redaction import redact_map, redact_value
 from stowline.functions.units import MIB
 from stowline.scale import lookup_join, skew_join
+from stowline.session import cut_lineage
 
 DAYS_KEPT = 7
 PATH_LEVELS = ("DEBUG", "TRACE")
@@ -106,9 +107,66 @@ def catalog_digest(files: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
+GRAM_LEVELS = (4, 8, 16, 32, 64, 128)
+
+
+def _edge_grams(texts: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """``texts`` without the text, one row per ``gram``: a substring of one of the given sizes that begins at a separator."""
+    # The parts are a column of their own: inside the lambda below they would be split anew for each of them.
+    parts = F.filter(F.split(text, r"(?=[/\\])"), lambda x: x.rlike(r"^[/\\]"))
+    cut = texts.withColumn("_parts", parts).withColumn("_sizes", sizes).filter((F.size("_parts") > 0) & (F.size("_sizes") > 0)).drop(text)
+    cut = cut.withColumn("_most", F.array_max("_sizes"))
+
+    def from_part(i: Column) -> Column:
+        ahead = F.substring(F.array_join(F.slice("_parts", i, F.col("_most")), ""), F.lit(1), F.col("_most"))
+        return F.filter(F.transform("_sizes", lambda n: F.when(F.length(ahead) >= n, F.substring(ahead, F.lit(1), n))), lambda g: g.isNotNull())
+
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_parts")), from_part))
+    return cut.select(*[c for c in texts.columns if c != text], F.explode(grams).alias("gram")).distinct()
+
+
+def path_anchors(paths: DataFrame) -> DataFrame:
+    """(gram, path): for each path the substring from a separator on that is in the fewest paths, as its anchor.
+
+    Candidates have a size of ``GRAM_LEVELS`` or reach the last whole four characters, from every separator of the path, so a
+    prefix or a name that many paths share is passed over. A path without four characters from a separator has none.
+    """
+    at = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring("path", i, F.lit(1)).isin("/", "\\"))
+    tails = F.filter(F.transform(at, lambda i: F.floor((F.length("path") - i + 1) / 4).cast("int") * 4), lambda n: n > 0)
+    sizes = F.array_distinct(F.concat(F.array(*[F.lit(n) for n in GRAM_LEVELS]), tails))
+    once = paths.select("path").distinct().withColumn("_text", F.col("path"))
+    grams = cut_lineage(_edge_grams(once, "_text", sizes))
+    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    counted = skew_join(grams, spread, ["gram"], "inner")
+    return counted.groupBy("path").agg(F.min_by("gram", F.struct("_n", F.length("gram"), "gram")).alias("gram"))
+
+
 def path_leak_audit(logs: DataFrame, files: DataFrame) -> DataFrame:
-    """Log rows above debug level with a field value that is a catalogued path."""
+    """(log_id, level, field, path): catalogued paths that stand anywhere in the message or a field value of log rows above
+    debug level, one row for each; ``log_id`` is unique, the message is the field ``msg``.
+
+    Each path has one anchor (see :func:`path_anchors`); the substrings of the texts that begin at separators meet the anchors
+    by equality, and what meets is held against the whole path. A path without an anchor counts only as a whole value.
+    A text is never compared with all paths, and only ids and substrings are shuffled, not the texts.
+    """
     loud = logs.filter(~F.upper(F.coalesce("level", F.lit("INFO"))).isin(*PATH_LEVELS))
-    values = loud.select("log_id", "level", F.explode("fields").alias("field", "path"))
-    known = files.select("path").distinct()
-    return skew_join(values, known, ["path"], "left_semi").select("log_id", "level", "field", "path")
+    told = []
+    if "fields" in logs.columns:
+        told.append(F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:string>>")))
+    if "msg" in logs.columns:
+        told.append(F.array(F.struct(F.lit("msg").alias("key"), F.col("msg").alias("value"))))
+    each = F.concat(*told)
+    values = loud.select("log_id", "level", F.explode(each).alias("v")).select(
+        "log_id", "level", F.col("v.key").alias("field"), F.col("v.value").alias("value")).filter(F.col("value").isNotNull())
+    known = cut_lineage(files.filter(F.col("path") != "").select("path").distinct())
+    anchors = cut_lineage(path_anchors(known))
+    whole = skew_join(values.withColumnRenamed("value", "path"), known.join(anchors, ["path"], "left_anti"), ["path"], "left_semi")
+    sizes = sorted(r.n for r in anchors.select(F.length("gram").alias("n")).distinct().collect())
+    if not sizes:
+        return whole.select("log_id", "level", "field", "path")
+    grams = _edge_grams(values.select("log_id", "field", "value"), "value", F.array(*[F.lit(n) for n in sizes]))
+    hits = lookup_join(grams, anchors.select("gram").distinct(), ["gram"], "left_semi")
+    pairs = cut_lineage(hits.join(anchors, "gram").select("log_id", "field", "path").distinct())
+    touched = lookup_join(values, pairs.select("log_id", "field").distinct(), ["log_id", "field"], "left_semi")
+    inside = touched.join(pairs, ["log_id", "field"]).filter(F.contains("value", "path"))
+    return whole.select("log_id", "level", "field", "path").unionByName(inside.select("log_id", "level", "field", "path"))

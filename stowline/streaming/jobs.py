@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stowline.operators.capacity import DEFAULT_RESERVE, DEFAULT_SLACK
 from stowline.operators.inventory import apply_delta
-from stowline.operators.journal import drift_verdict
+from stowline.operators.journal import drift_verdict, latest_state
 from stowline.operators.observability import redact
 from stowline.session import new_folder
 from stowline.sources.logs import parse_log_lines
@@ -39,7 +39,7 @@ def read_inventory(base: DataFrame, changes: DataFrame, folder: str) -> DataFram
 
 
 def compact_inventory(base: DataFrame, changes: DataFrame, folder: str, snapshot: str) -> DataFrame:
-    """Write the merged inventory as a new snapshot, next to the old one; readers switch by path."""
+    """Write the merged inventory as a plain table for other tools; ``snapshots.compact`` shortens the log itself."""
     read_inventory(base, changes, folder).write.mode("overwrite").parquet(snapshot)
     return base.sparkSession.read.schema(base.schema).parquet(snapshot)
 
@@ -92,19 +92,17 @@ def stream_drift(readings: DataFrame, next_ops: DataFrame, folder: str, checkpoi
 
 
 def stream_journal(transitions: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Latest state per op; each batch writes the ops that changed."""
-    rest = [c for c in transitions.columns if c != "op_id"]
-    running = transitions.groupBy("op_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "event_id")).alias("s"))
-    flat = running.select("op_id", *[F.col(f"s.{c}").alias(c) for c in rest])
-    return append_batches(flat, folder, checkpoint, mode="update")
+    """Latest state per op and batch, without state of its own: each batch stores its newest row per op, readers merge.
+
+    ``stream_transitions`` audits the same stream.
+    """
+    return append_batches(transitions, folder, checkpoint, latest_state)
 
 
 def read_journal(transitions: DataFrame, folder: str) -> DataFrame:
     """Newest stored state per op."""
     stored = read_batches(transitions.sparkSession, folder, _ddl(transitions))
-    rest = [c for c in transitions.columns if c != "op_id"]
-    newest = stored.groupBy("op_id").agg(F.max_by(F.struct(*rest), BATCH).alias("s"))
-    return newest.select("op_id", *[F.col(f"s.{c}").alias(c) for c in rest])
+    return latest_state(stored.drop(BATCH))
 
 
 def run_to_end(query: StreamingQuery) -> None:

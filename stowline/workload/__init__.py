@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalog_queries", "policy_queries", "plan_queries", "audit_queries", "stream_queries")
+MODULES = ("catalog_queries", "cloud_queries", "policy_queries", "plan_queries", "audit_queries", "stream_queries")
 
 
 def load_all() -> None:

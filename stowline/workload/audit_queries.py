@@ -12,10 +12,10 @@ from stowline.workload.registry import query
 
 # --- journal
 
-LATEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY updated_at DESC, event_id DESC) AS n FROM v_journal) WHERE n = 1)"""
+LATEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY library_id, op_id ORDER BY updated_at DESC, event_id DESC) AS n FROM v_journal) WHERE n = 1)"""
 
 
-@query("latest_state", f"SELECT op_id, event_id, plan_id, state, stored_offset FROM {LATEST}")
+@query("latest_state", f"SELECT library_id, op_id, event_id, plan_id, state, stored_offset FROM {LATEST}")
 def _(t):
     return journal.latest_state(t("v_journal")).drop("updated_at")
 
@@ -24,27 +24,30 @@ USED_STATES = ("ReservedSpace", "Transferring", "Verifying", "Committed", "Needs
 
 
 @query("journal_status", f"""
-SELECT plan_id, {', '.join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in USED_STATES)},
+SELECT library_id, plan_id, {', '.join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in USED_STATES)},
        count(*) FILTER (WHERE state IN ('ReservedSpace', 'Transferring', 'Verifying')) AS in_flight
-FROM {LATEST} GROUP BY plan_id
+FROM {LATEST} GROUP BY library_id, plan_id
 """)
 def _(t):
-    return journal.journal_status(t("v_journal")).select("plan_id", *USED_STATES, "in_flight")
+    return journal.journal_status(t("v_journal")).select("library_id", "plan_id", *USED_STATES, "in_flight")
 
 
-@query("transition_audit", """
-WITH s AS (SELECT op_id, event_id, coalesce(lag(state) OVER (PARTITION BY op_id ORDER BY updated_at, event_id), 'NotStarted') AS from_state, state AS to_state FROM v_journal)
-SELECT op_id, event_id, from_state, to_state FROM s
+AUDIT = """
+WITH s AS (SELECT library_id, op_id, event_id, coalesce(lag(state) OVER (PARTITION BY library_id, op_id ORDER BY updated_at, event_id), 'NotStarted') AS from_state, state AS to_state FROM v_journal)
+SELECT library_id, op_id, event_id, from_state, to_state FROM s
 WHERE from_state <> to_state AND concat(from_state, '>', to_state) NOT IN ('NotStarted>ReservedSpace', 'ReservedSpace>Transferring', 'Transferring>Verifying', 'Verifying>Transferring')
   AND NOT (to_state = 'NeedsAttention' AND from_state NOT IN ('Committed', 'NeedsAttention'))
-""")
+"""
+
+
+@query("transition_audit", AUDIT)
 def _(t):
     return journal.transition_audit(t("v_journal"))
 
 
-@query("needs_attention", f"SELECT op_id, event_id, plan_id FROM {LATEST} WHERE state = 'NeedsAttention'")
+@query("needs_attention", f"SELECT library_id, op_id, event_id, plan_id FROM {LATEST} WHERE state = 'NeedsAttention'")
 def _(t):
-    return journal.needs_attention(t("v_journal")).select("op_id", "event_id", "plan_id")
+    return journal.needs_attention(t("v_journal")).select("library_id", "op_id", "event_id", "plan_id")
 
 
 @query("resume_actions", """
@@ -140,40 +143,46 @@ def _(t):
 
 
 PUBLIC = "('Anyone', 'AnyoneWithLink', 'anonymous')"
-PUBLIC_FOLDERS = f"""(SELECT f.ref, CASE WHEN f.principal IN {PUBLIC} THEN f.ref WHEN p.principal IN {PUBLIC} THEN p.ref WHEN g.principal IN {PUBLIC} THEN g.ref END AS public_at
-  FROM v_folders f LEFT JOIN v_folders p ON p.ref = f.parent_ref LEFT JOIN v_folders g ON g.ref = p.parent_ref)"""
-
-
-@query("public_items", f"""
-SELECT i.library_id, i.ref, CASE WHEN i.principal IN {PUBLIC} THEN i.ref ELSE p.public_at END AS public_at
-FROM v_items i LEFT JOIN {PUBLIC_FOLDERS} p ON p.ref = i.parent_ref WHERE i.principal IN {PUBLIC} OR p.public_at IS NOT NULL
-""")
+FOLDER_STATE = f"""(SELECT f.ref, f.public_at, CASE WHEN f.public_at IS NULL THEN f.lost END AS unresolved_at FROM (
+  SELECT f.ref, CASE WHEN f.principal IN {PUBLIC} THEN f.ref WHEN p.principal IN {PUBLIC} THEN p.ref WHEN g.principal IN {PUBLIC} THEN g.ref END AS public_at,
+         CASE WHEN f.principal = 'Unknown' THEN f.ref WHEN f.parent_ref IS NOT NULL AND p.ref IS NULL THEN f.parent_ref WHEN p.principal = 'Unknown' THEN p.ref
+              WHEN p.parent_ref IS NOT NULL AND g.ref IS NULL THEN p.parent_ref WHEN g.principal = 'Unknown' THEN g.ref END AS lost
+  FROM v_folders f LEFT JOIN v_folders p ON p.ref = f.parent_ref LEFT JOIN v_folders g ON g.ref = p.parent_ref) f)"""
+ITEM_STATE = f"""(SELECT *, CASE WHEN public_at IS NOT NULL THEN 'public' WHEN lost IS NOT NULL THEN 'unresolved' ELSE 'private' END AS exposure,
+       CASE WHEN public_at IS NULL THEN lost END AS unresolved_at FROM (
+  SELECT i.library_id, i.ref, CASE WHEN i.principal IN {PUBLIC} THEN i.ref ELSE p.public_at END AS public_at,
+         CASE WHEN i.principal = 'Unknown' THEN i.ref WHEN p.ref IS NULL THEN i.parent_ref ELSE p.unresolved_at END AS lost
+  FROM v_items i LEFT JOIN {FOLDER_STATE} p ON p.ref = i.parent_ref))"""
+
+
+@query("public_items", f"SELECT library_id, ref, exposure, public_at, unresolved_at FROM {ITEM_STATE} WHERE exposure <> 'private'")
 def _(t):
-    return acl.public_items(t("v_items"), t("v_folders"), t("v_acl")).select("library_id", "ref", "public_at")
+    return acl.public_items(t("v_items"), t("v_folders"), t("v_acl")).select("library_id", "ref", "exposure", "public_at", "unresolved_at")
 
 
 @query("refused_destinations", f"""
-SELECT o.op_id, concat('c', o.cust) AS dest_parent, p.public_at
+SELECT o.op_id, concat('c', o.cust) AS dest_parent, CASE WHEN p.public_at IS NULL THEN 'unresolved' ELSE 'public' END AS exposure, p.public_at,
+       CASE WHEN p.ref IS NULL THEN concat('c', o.cust) ELSE p.unresolved_at END AS unresolved_at
 FROM (SELECT op_id, CAST(substr(plan_id, 2) AS BIGINT) AS cust FROM v_plan_ops WHERE kind IN ('upload_keep', 'upload_evict', 'shuttle')) o
-JOIN {PUBLIC_FOLDERS} p ON p.ref = concat('c', o.cust) WHERE p.public_at IS NOT NULL
+LEFT JOIN {FOLDER_STATE} p ON p.ref = concat('c', o.cust) WHERE p.ref IS NULL OR p.public_at IS NOT NULL OR p.unresolved_at IS NOT NULL
 """)
 def _(t):
     ops = t("v_plan_ops").filter("kind IN ('upload_keep', 'upload_evict', 'shuttle')").select(
         F.lit(0).cast("long").alias("library_id"), "op_id", F.concat(F.lit("c"), F.substring("plan_id", 2, 20)).alias("dest_parent"))
-    return acl.refused_destinations(ops, t("v_folders"), t("v_acl")).select("op_id", "dest_parent", "public_at")
+    return acl.refused_destinations(ops, t("v_folders"), t("v_acl")).select("op_id", "dest_parent", "exposure", "public_at", "unresolved_at")
 
 
 @query("upload_acl_recheck", f"""
 WITH l AS (SELECT arg_max(plan_id, (created, plan_id)) AS plan_id FROM (SELECT plan_id, o_orderdate AS created FROM v_plan_ops JOIN orders ON o_orderkey = op_id))
-SELECT o.op_id, CASE WHEN i.principal IN {PUBLIC} THEN i.ref ELSE p.public_at END AS public_at
-FROM v_plan_ops o JOIN l ON l.plan_id = o.plan_id JOIN v_items i ON i.ref = concat('o', o.op_id) LEFT JOIN {PUBLIC_FOLDERS} p ON p.ref = i.parent_ref
-WHERE o.kind IN ('upload_keep', 'upload_evict', 'shuttle') AND (i.principal IN {PUBLIC} OR p.public_at IS NOT NULL)
+SELECT o.op_id, i.exposure, i.public_at, i.unresolved_at
+FROM v_plan_ops o JOIN l ON l.plan_id = o.plan_id JOIN {ITEM_STATE} i ON i.ref = concat('o', o.op_id)
+WHERE o.kind IN ('upload_keep', 'upload_evict', 'shuttle') AND i.exposure <> 'private'
 """)
 def _(t):
     dates = t.sql("SELECT o_orderkey AS op_id, o_orderdate AS created_at FROM {orders}")
     ops = t("v_plan_ops").join(dates, "op_id").withColumn("library_id", F.lit(0).cast("long")).withColumn(
         "dest_ref", F.concat(F.lit("o"), F.col("op_id").cast("string")))
-    return acl.upload_acl_recheck(ops, t("v_items"), t("v_folders"), t("v_acl")).select("op_id", "public_at")
+    return acl.upload_acl_recheck(ops, t("v_items"), t("v_folders"), t("v_acl")).select("op_id", "exposure", "public_at", "unresolved_at")
 
 
 @query("path_escapes", """
@@ -346,10 +355,19 @@ def _(t):
     return observability.catalog_digest(classified(t))
 
 
-@query("path_leak_audit", """
-SELECT l.log_id, l.level, 'path' AS field, l.target_path AS path FROM v_log_fields l WHERE l.level <> 'DEBUG' AND l.target_path IN (SELECT path FROM v_files)
+LEAK_TEXTS = """
+SELECT log_id, level, 'msg' AS field, CASE WHEN log_id % 4 = 0 THEN concat('moved ', target_path, ', then ', replace(target_path, 'Videos/Captures', 'misc')) WHEN log_id % 4 = 1 THEN concat('D:', target_path) ELSE msg END AS text FROM v_log_fields
+UNION ALL SELECT log_id, level, 'path', target_path FROM v_log_fields
+UNION ALL SELECT log_id, level, 'session_uri', concat(session_uri, replace(target_path, '.mp4', '')) FROM v_log_fields
+"""
+
+
+@query("path_leak_audit", f"""
+SELECT l.log_id, l.level, l.field, f.path FROM ({LEAK_TEXTS}) l JOIN (SELECT DISTINCT path FROM v_files) f ON strpos(l.text, f.path) > 0 WHERE l.level <> 'DEBUG'
 """)
 def _(t):
-    logs = t("v_log_fields").select("log_id", "level", F.create_map(
-        F.lit("path"), "target_path", F.lit("plan_id"), "plan_id", F.lit("session_uri"), "session_uri").alias("fields"))
-    return observability.path_leak_audit(logs, t("v_files"))
+    slots = LEAK_TEXTS.replace("v_log_fields", "{v_log_fields}")
+    texts = t.sql(slots).groupBy("log_id", "level").agg(
+        F.max(F.when(F.col("field") == "msg", F.col("text"))).alias("msg"),
+        F.map_from_entries(F.collect_list(F.when(F.col("field") != "msg", F.struct("field", "text")))).alias("fields"))
+    return observability.path_leak_audit(texts, t("v_files"))

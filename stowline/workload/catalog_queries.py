@@ -135,14 +135,25 @@ DIFF_SIDE = """SELECT library_id, path, size, mtime_utc,
   coalesce(ntfs_file_id, path) AS item FROM """
 
 
+SIDE_RANK = "row_number() OVER (PARTITION BY library_id, space, item ORDER BY md5(path), path)"
+
+
 @query("diff_snapshots", f"""
-SELECT coalesce(p.library_id, c.library_id) AS library_id, coalesce(c.path, p.path) AS path,
-       CASE WHEN p.path <> c.path THEN p.path END AS old_path,
-       CASE WHEN p.item IS NULL THEN 'new' WHEN c.item IS NULL THEN 'missing' WHEN p.path <> c.path THEN 'renamed'
-            WHEN p.size <> c.size OR p.mtime_utc <> c.mtime_utc THEN 'changed' ELSE 'unchanged' END AS change,
-       coalesce(p.size <> c.size OR p.mtime_utc <> c.mtime_utc, false) AS body_changed
-FROM ({DIFF_SIDE} v_prev) p FULL JOIN ({DIFF_SIDE} v_curr) c
-  ON p.library_id = c.library_id AND p.space = c.space AND p.item = c.item
+WITH p AS ({DIFF_SIDE} v_prev), c AS ({DIFF_SIDE} v_curr),
+old_left AS (SELECT *, {SIDE_RANK} AS n FROM p WHERE NOT EXISTS (
+  SELECT 1 FROM c WHERE c.library_id = p.library_id AND c.space = p.space AND c.item = p.item AND c.path = p.path)),
+new_left AS (SELECT *, {SIDE_RANK} AS n FROM c WHERE NOT EXISTS (
+  SELECT 1 FROM p WHERE p.library_id = c.library_id AND p.space = c.space AND p.item = c.item AND p.path = c.path)),
+both_sides AS (
+  SELECT p.library_id, p.path AS old_path, c.path AS new_path, p.size <> c.size OR p.mtime_utc <> c.mtime_utc AS differs
+  FROM p JOIN c ON p.library_id = c.library_id AND p.space = c.space AND p.item = c.item AND p.path = c.path
+  UNION ALL
+  SELECT coalesce(p.library_id, c.library_id), p.path, c.path, p.size <> c.size OR p.mtime_utc <> c.mtime_utc
+  FROM old_left p FULL JOIN new_left c ON p.library_id = c.library_id AND p.space = c.space AND p.item = c.item AND p.n = c.n)
+SELECT library_id, coalesce(new_path, old_path) AS path, CASE WHEN old_path <> new_path THEN old_path END AS old_path,
+       CASE WHEN old_path IS NULL THEN 'new' WHEN new_path IS NULL THEN 'missing' WHEN old_path <> new_path THEN 'renamed' WHEN differs THEN 'changed' ELSE 'unchanged' END AS change,
+       coalesce(differs, false) AS body_changed
+FROM both_sides
 """)
 def _(t):
     return inventory.diff_snapshots(t("v_prev"), t("v_curr"))
@@ -254,14 +265,15 @@ def _(t):
     return identity.validate_content_id(t("v_raw_ids"))
 
 
-@query("dirty_files", """
-SELECT c.library_id, c.file_id FROM v_curr c
-LEFT JOIN (SELECT * FROM v_prev WHERE blob_id % 5 <> 1) p
-  ON p.library_id = c.library_id AND p.volume_serial = c.volume_serial AND p.ntfs_file_id = c.ntfs_file_id
-WHERE c.hydration = 'local_full' AND (p.file_id IS NULL OR p.size <> c.size OR p.mtime_utc <> c.mtime_utc)
+@query("dirty_files", f"""
+WITH p AS ({DIFF_SIDE} (SELECT * FROM v_prev WHERE blob_id % 5 <> 1 OR blob_id % 2 = 0)),
+c AS ({DIFF_SIDE.replace("SELECT library_id,", "SELECT library_id, file_id, hydration,")} v_curr)
+SELECT c.library_id, c.file_id FROM c
+WHERE c.hydration = 'local_full' AND NOT EXISTS (
+  SELECT 1 FROM p WHERE p.library_id = c.library_id AND p.space = c.space AND p.item = c.item AND p.size = c.size AND p.mtime_utc = c.mtime_utc)
 """)
 def _(t):
-    known = t("v_prev").withColumn("content_id", F.when(F.col("blob_id") % 5 != 1, F.concat(F.lit("b3:"), "path")))
+    known = t("v_prev").withColumn("content_id", F.when((F.col("blob_id") % 5 != 1) | (F.col("blob_id") % 2 == 0), F.concat(F.lit("b3:"), "path")))
     return identity.dirty_files(t("v_curr"), known).select("library_id", "file_id")
 
 
@@ -311,6 +323,28 @@ def _(t):
     return identity.promote_verified(replicas, hashed)
 
 
+MERGED = """
+WITH r AS (SELECT 0 AS library_id, doc_id AS file_id, doc_id - doc_id % 4 AS origin, CASE WHEN doc_id % 4 <> 3 THEN concat('sha256:', sha256(CASE WHEN doc_id % 5 < 3 THEN lang ELSE text END)) END AS cid
+           FROM documents),
+o AS (SELECT origin, min(cid) AS lo, min(cid) <> max(cid) AS split FROM r WHERE cid IS NOT NULL GROUP BY origin),
+c AS (SELECT cid, coalesce(min(CASE WHEN NOT split THEN r.origin END), min(file_id)) AS blob_id FROM r JOIN o ON o.origin = r.origin WHERE cid IS NOT NULL GROUP BY cid)
+SELECT CAST(0 AS BIGINT) AS library_id, r.file_id, coalesce(c.blob_id, CASE WHEN o.split THEN r.file_id ELSE r.origin END) AS blob_id,
+       CASE WHEN r.cid IS NULL THEN 'suspect' ELSE 'verified' END AS state, coalesce(o.split, false) AS conflict
+FROM r LEFT JOIN o ON o.origin = r.origin LEFT JOIN c ON c.cid = coalesce(r.cid, CASE WHEN NOT o.split THEN o.lo END)
+"""
+
+
+@query("merge_run", MERGED)
+def _(t):
+    digests = contents(t).select("library_id", "file_id").join(t.sql(
+        "SELECT doc_id AS file_id, concat('sha256:', sha2(CASE WHEN doc_id % 5 < 3 THEN lang ELSE text END, 256)) AS content_id FROM {documents} WHERE doc_id % 4 <> 3"), "file_id")
+    replicas = contents(t).select(
+        "library_id", "file_id", (F.col("file_id") - F.col("file_id") % 4).alias("origin"), F.lit(None).cast("string").alias("digest"),
+        F.lit(None).cast("long").alias("blob_id"), F.lit("suspect").alias("state"), F.lit(False).alias("conflict"))
+    blobs = t.spark.createDataFrame([], "library_id long, content_id string, blob_id long")
+    return identity.merge_run(replicas, digests, blobs)[0].drop("origin", "digest")
+
+
 @query("verify_native", """
 WITH e AS (SELECT doc_id AS op_id, 'md5' AS algo, md5(text) AS hex FROM documents
            UNION ALL SELECT doc_id, 'sha1', sha1(text) FROM documents WHERE doc_id % 2 = 0),

@@ -80,6 +80,8 @@ def oracle_text(sql: str) -> str:
     body = _SLOT.sub(r"\1", sql).strip()
     if not plain:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(plain)},\n{body.removeprefix('WITH RECURSIVE ')}"
     if body.startswith("WITH "):
         return f"WITH {', '.join(plain)},\n{body.removeprefix('WITH ')}"
     return f"WITH {', '.join(plain)}\n{body}"

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline.plans.simulate import PLAN
-from stowline.streaming import jobs
-from stowline.workload.audit_queries import LATEST, SLACK
+from stowline.session import new_folder
+from stowline.streaming import jobs, retention, snapshots, transitions
+from stowline.streaming.tables import BATCH, read_batches
+from stowline.workload.audit_queries import AUDIT, LATEST, SLACK
 from stowline.workload.plan_queries import residuals
 from stowline.workload.policy_queries import RESERVE
 from stowline.workload.registry import query
@@ -109,12 +111,77 @@ def _(t):
     return t.spark.read.schema(schema).parquet(table).select("event_id", "plan_id", "seq", "reason")
 
 
-@query("stream_journal", f"SELECT op_id, event_id, plan_id, state FROM {LATEST}")
+STATE = """CASE event_type WHEN 'signup' THEN 'ReservedSpace' WHEN 'view' THEN 'Transferring'
+            WHEN 'click' THEN 'Verifying' WHEN 'purchase' THEN 'Committed' ELSE 'NeedsAttention' END"""
+
+
+@query("stream_journal", f"SELECT library_id, op_id, event_id, plan_id, state FROM {LATEST}")
 def _(t):
     transitions = stream(t, "events").select(
-        "event_id", F.col("user_id").alias("op_id"), F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("plan_id"),
-        F.col("ts").alias("updated_at"), F.expr("""CASE event_type WHEN 'signup' THEN 'ReservedSpace' WHEN 'view' THEN 'Transferring'
-            WHEN 'click' THEN 'Verifying' WHEN 'purchase' THEN 'Committed' ELSE 'NeedsAttention' END""").alias("state"))
+        "event_id", (F.col("event_id") % 2).alias("library_id"), F.col("user_id").alias("op_id"),
+        F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("plan_id"), F.col("ts").alias("updated_at"), F.expr(STATE).alias("state"))
     table, checkpoint = jobs.scratch(t.spark, "journal")
     jobs.run_to_end(jobs.stream_journal(transitions, table, checkpoint))
-    return jobs.read_journal(transitions, table).select("op_id", "event_id", "plan_id", "state")
+    return jobs.read_journal(transitions, table).select("library_id", "op_id", "event_id", "plan_id", "state")
+
+
+def arrivals(rows: DataFrame, slices: int, folder: str, slice_no) -> None:
+    """Write rows as ``slices`` files, in the order in which a stream will read them."""
+    for n in range(slices):
+        rows.filter(slice_no == n).coalesce(1).write.mode("append").parquet(folder)
+
+
+@query("stream_transitions", AUDIT)
+def _(t):
+    """The journal in six arrivals, a tenth of the rows a day late, and a last row of no op that lets the watermark pass."""
+    rows = t("v_journal").select("library_id", "op_id", "event_id", "state", F.col("updated_at").cast("timestamp").alias("updated_at"))
+    first, last = rows.agg(F.min("updated_at"), F.max("updated_at")).first()
+    late = F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    step = max((last - first).total_seconds() / 5, 1.0)
+    at = F.least(F.floor((F.unix_micros(F.col("updated_at") + late) - F.unix_micros(F.lit(first))) / F.lit(step * 1e6)), F.lit(5))
+    source = new_folder(t.spark, "arrivals")
+    arrivals(rows, 6, source, at)
+    end = rows.limit(1).select(F.lit(-1).cast("long").alias("library_id"), F.lit(-1).cast("long").alias("op_id"), F.lit(-1).cast("long").alias("event_id"),
+                               F.lit("NotStarted").alias("state"), F.expr(f"TIMESTAMP_MICROS({int(last.timestamp() * 1e6)}) + INTERVAL 9 DAYS").alias("updated_at"))
+    end.coalesce(1).write.mode("append").parquet(source)
+    arriving = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table, checkpoint = jobs.scratch(t.spark, "transitions")
+    jobs.run_to_end(transitions.stream_transitions(arriving, table, checkpoint, "2 days", 90 * 24 * 3600 * 1000))
+    return read_batches(t.spark, table, transitions.OUT).drop(BATCH)
+
+
+@query("stream_compaction", f"""
+SELECT library_id, location_id, item_key, size, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY change_no DESC) AS n FROM (
+    SELECT {CHANGE_COLUMNS.replace('STRING', 'VARCHAR')} FROM orders UNION ALL SELECT *, -1, false FROM ({STREAM_BASE})))
+WHERE n = 1 AND NOT is_deleted
+""")
+def _(t):
+    """The changes in four arrivals, each item's newest ones first, with a compaction after each and old folders deleted."""
+    changes = t.sql(f"SELECT {CHANGE_COLUMNS} FROM {{orders}}")
+    source = new_folder(t.spark, "changes")
+    table, checkpoint = jobs.scratch(t.spark, "compaction")
+    schema = ", ".join(f"{n} {k}" for n, k in changes.dtypes)
+    for n in (2, 0, 3, 1):
+        changes.filter(F.col("change_no") % 4 == n).write.mode("append").parquet(source)
+        arriving = t.spark.readStream.schema(changes.schema).parquet(source)
+        jobs.run_to_end(jobs.stream_inventory(arriving, table, checkpoint))
+        if n != 1:
+            snapshots.compact(t.spark, table, schema)
+            snapshots.vacuum(t.spark, table)
+    return snapshots.read_current(t.sql(STREAM_BASE), schema, table)
+
+
+@query("stream_retention", """
+SELECT strftime(ts, '%Y-%m-%d') AS log_day, count(*) AS rows FROM events
+WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events ORDER BY d DESC LIMIT 7) GROUP BY 1
+""")
+def _(t):
+    lines = stream(t, "events").select(F.to_json(F.struct(
+        F.lit("INFO").alias("level"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.concat(F.lit("seen "), "event_id").alias("message"))).alias("value"))
+    logs = jobs.redacted(lines)
+    table, checkpoint = jobs.scratch(t.spark, "days")
+    jobs.run_to_end(retention.store_days(logs, table, checkpoint))
+    retention.expire_days(t.spark, table, 7)
+    schema = ", ".join(f"{n} {k}" for n, k in logs.dtypes)
+    return retention.read_days(t.spark, table, schema).groupBy(retention.DAY).agg(F.count(F.lit(1)).alias("rows"))

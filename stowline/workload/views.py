@@ -47,7 +47,7 @@ SELECT file_id, blob_id, location_id, library_id, location_id AS provider_id, si
                  WHEN blob_id % 19 = 0 THEN 2415919132 ELSE 0 END AS BIGINT) AS reparse_tag,
        CASE WHEN blob_id % 4 = 0 THEN NULL WHEN blob_id % 4 = 1 THEN 'video/mp4'
             ELSE 'application/octet-stream' END AS mime,
-       CASE WHEN blob_id % 3 = 0 THEN NULL ELSE CAST(file_id AS VARCHAR(20)) END AS ntfs_file_id,
+       CASE WHEN blob_id % 3 = 0 THEN NULL WHEN blob_id % 5 = 1 THEN concat('L', CAST(floor(blob_id / 50) AS VARCHAR(20))) ELSE CAST(file_id AS VARCHAR(20)) END AS ntfs_file_id,
        concat('S-', CAST(location_id AS VARCHAR(20))) AS volume_serial,
        location_id * 10 + blob_id % 3 AS last_scan_id
 FROM {v_replicas}
@@ -187,7 +187,7 @@ FROM {orders}
 """
 
 VIEWS["v_journal"] = """
-SELECT event_id, user_id AS op_id, concat('p', CAST(user_id % 20 AS VARCHAR(20))) AS plan_id, ts AS updated_at,
+SELECT event_id, CAST(event_id % 2 AS BIGINT) AS library_id, user_id AS op_id, concat('p', CAST(user_id % 20 AS VARCHAR(20))) AS plan_id, ts AS updated_at,
        CASE event_type WHEN 'signup' THEN 'ReservedSpace' WHEN 'view' THEN 'Transferring' WHEN 'click' THEN 'Verifying'
             WHEN 'purchase' THEN 'Committed' ELSE 'NeedsAttention' END AS state,
        CAST(floor(value * 100) AS BIGINT) - 500 AS stored_offset
@@ -208,26 +208,39 @@ SELECT o_orderkey AS op_id, o_totalprice > 100000 AS dest_exists, o_totalprice >
 FROM {orders} WHERE o_orderpriority <> '1-URGENT'
 """
 
+# One region, some customers and their parents are not listed; some grants cannot be read.
 VIEWS["v_folders"] = """
 SELECT CAST(0 AS BIGINT) AS library_id, concat('r', CAST(r_regionkey AS VARCHAR(20))) AS ref, CAST(NULL AS VARCHAR(20)) AS parent_ref,
-       'none' AS principal FROM {region}
+       'none' AS principal FROM {region} WHERE r_regionkey <> 3
 UNION ALL
 SELECT CAST(0 AS BIGINT), concat('n', CAST(n_nationkey AS VARCHAR(20))), concat('r', CAST(n_regionkey AS VARCHAR(20))),
-       CASE WHEN n_nationkey % 6 = 0 THEN 'AnyoneWithLink' ELSE 'User' END FROM {nation}
+       CASE WHEN n_nationkey % 6 = 0 THEN 'AnyoneWithLink' WHEN n_nationkey % 11 = 1 THEN 'Unknown' ELSE 'User' END FROM {nation}
 UNION ALL
 SELECT CAST(0 AS BIGINT), concat('c', CAST(c_custkey AS VARCHAR(20))), concat('n', CAST(c_nationkey AS VARCHAR(20))),
-       CASE WHEN c_mktsegment = 'BUILDING' THEN 'Anyone' ELSE 'User' END FROM {customer}
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'Anyone' WHEN c_custkey % 17 = 5 THEN 'Unknown' ELSE 'User' END FROM {customer} WHERE c_custkey % 13 <> 7
 """
 VIEWS["v_items"] = """
 SELECT CAST(0 AS BIGINT) AS library_id, concat('o', CAST(o_orderkey AS VARCHAR(20))) AS ref,
-       concat('c', CAST(o_custkey AS VARCHAR(20))) AS parent_ref,
-       CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 'anonymous' ELSE 'User' END AS principal
+       CASE WHEN o_orderkey % 10 <> 4 THEN concat('c', CAST(o_custkey AS VARCHAR(20))) END AS parent_ref,
+       CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 'anonymous' WHEN o_orderkey % 19 = 3 THEN 'Unknown' ELSE 'User' END AS principal
 FROM {orders}
 """
 VIEWS["v_acl"] = """
 SELECT library_id, ref, principal FROM {v_folders} UNION ALL SELECT library_id, ref, principal FROM {v_items}
 """
 
+# A tree of folders by number: some parents are files or not listed, some link to themselves or to each other.
+VIEWS["v_cloud_items"] = """
+SELECT CAST(o_orderkey % 2 AS BIGINT) AS library_id, 'drive' AS location_id, concat('i', CAST(o_orderkey AS VARCHAR(20))) AS remote_ref,
+       CASE WHEN o_orderkey < 6 THEN NULL WHEN o_orderkey < 40 THEN 'top' WHEN o_orderkey % 100 = 47 THEN concat('i', CAST(o_orderkey AS VARCHAR(20)))
+            WHEN o_orderkey % 100 = 57 THEN concat('i', CAST(o_orderkey + 2 AS VARCHAR(20)))
+            WHEN o_orderkey % 100 = 59 THEN concat('i', CAST(o_orderkey - 2 AS VARCHAR(20)))
+            WHEN o_orderkey % 100 = 63 THEN 'gone' ELSE concat('i', CAST(CAST(floor(o_orderkey / 6) AS BIGINT) * 2 + o_orderkey % 2 AS VARCHAR(20))) END AS parent_ref,
+       CASE WHEN o_orderkey % 21 = 4 THEN NULL ELSE concat(o_orderstatus, '/', CAST(o_orderkey % 97 AS VARCHAR(20))) END AS name,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'byte' ELSE 'directory' END AS kind
+FROM {orders}
+"""
+
 VIEWS["v_paths"] = """
 SELECT page_id, '/data/site' AS root,
        CASE WHEN page_id % 8 = 0 THEN concat('/data/site/', url) WHEN page_id % 8 = 1 THEN concat('../', CAST(page_id AS VARCHAR(20)))
