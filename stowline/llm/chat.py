@@ -4,7 +4,7 @@ Legal is an optional system turn, then user and assistant in turns, the user fir
 merged into the turn before, relabelled, or preceded by an empty turn of the other role; the least total cost is found
 over the automaton of the last role. A stretch of turns is a min-plus matrix between automaton states, and matrices
 chain: a long conversation is cut into stretches, whose matrices are chained before each stretch is solved between its
-own two states. So no conversation has to fit into one task.
+own two states. So no conversation has to fit into one task; a stretch has at most ``2**SHIFT`` turns.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ START = 3
 MERGE, INSERT, RELABEL, NAME = 1.0, 2.0, 3.0, 0.5
 NONE = float("inf")
 END = "<|end|>\n"
-SHIFT = 33
+SHIFT = 16
 
 
 @lru_cache(maxsize=None)
@@ -180,7 +180,8 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     ``place`` orders the rows of a conversation (1 first), by turn, then role and text, null turns last; ``action`` is keep,
     merge, relabel, name or insert, or a pair of them; ``inserted`` is the role of an empty turn put before; the pieces of a
     conversation, joined by place, are its rendered text. Roles are compared in lower case without outer blanks; null
-    and unknown ones are named. Null texts are empty; rows without conversation take no part; repeated rows are turns of
+    and unknown ones are named. Of repairs of equal cost the one counts whose last role comes first among system, user and
+    assistant, and so for each role before it. Null texts are empty; rows without conversation take no part; repeated rows are turns of
     their own; an empty table gives an empty one; other columns are ignored.
     """
     rows = pick(turns, conv=conv_id, turn=turn, role=role, text=text).where("conv IS NOT NULL").select(
@@ -188,7 +189,8 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     keys = ["conv", F.col("turn").isNull().alias("late"), "turn", "role", F.xxhash64("text").alias("h")]
     spread = rows.select("*", *keys[1:2], keys[4]).withColumn("same", F.monotonically_increasing_id())
     order = ["conv", "late", "turn", "role", "h", "same"]
-    # After the range sort, the id of a row grows with the order over all partitions; its upper bits number the stretch.
+    # After the range sort, the id of a row grows with the order over all partitions: the partition's number in the upper
+    # bits, the row's in the lower. What is above SHIFT bits numbers the stretch.
     table = cut_lineage(
         spread.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
         .select("conv", F.shiftright("seq", SHIFT).alias("part"), "seq", "turn", "role", "text")
@@ -199,7 +201,9 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         parts.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("part", "m"))).alias("found"))
         .mapInArrow(_bounds, "conv bigint, part bigint, begin int, end int, closing boolean")
     )
-    solved = table.join(bounds, ["conv", "part"]).sortWithinPartitions("conv", "part", "seq").mapInArrow(
+    # A stretch must sit in one task when it is solved; the reader may have dealt its rows to several.
+    whole = table.join(bounds, ["conv", "part"]).repartition("conv", "part").sortWithinPartitions("conv", "part", "seq")
+    solved = whole.mapInArrow(
         _solved, "conv bigint, turn bigint, place bigint, action string, role string, inserted string, piece string")
     # Places: the number within the stretch, which is dense, after the rows of the conversation's earlier stretches.
     sizes = table.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))

@@ -84,3 +84,22 @@ def test_odd_rows_and_a_long_conversation(spark):
     roles = [(r[2] or "").strip().lower() or None for r in rows[:3000]]
     assert sum(PRICE[a] for r in got[1] for a in r.action.split(", ")) == solve(roles, START, None)[0]
     assert repair(frame.limit(0)).count() == 0
+
+
+def test_a_stretch_that_is_read_in_several_splits(spark):
+    """Small row groups and splits deal the rows of one stretch to many tasks when they are read again."""
+    from stowline.llm.chat import repair
+
+    rng = random.Random(10)
+    rows = [(1, i, rng.choice(["user", "assistant", "user", "system", None]), f"text {i} {rng.random()}") for i in range(20_000)]
+    small = {"parquet.block.size": "8192", "spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = rendered(repair(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    cost = sum(PRICE[a] for r in got[1] for a in r.action.split(", "))
+    assert cost == solve([r[2] for r in rows], START, None)[0] and len(got[1]) == 20_000
