@@ -26,6 +26,9 @@ START = "▁"
 HELD_WORDS = 200_000
 FLUSH = 300_000
 FLOOR = 1e-7
+WIDTHS = (6, 8, 10, 12, 16, 24, 48)
+GROUP = 4000
+HELD_BATCH = 40_000
 ROUNDS = 2
 
 
@@ -89,6 +92,127 @@ class Lattice:
                 into[piece] = into.get(piece, 0.0) + share
 
 
+class Trie:
+    """The pieces of a lattice as a tree in arrays, and both recursions over many short words at once.
+
+    A node is a prefix of a piece; ``keys`` holds (parent << 21 | character) in order, so a step down for many places is one
+    search in a sorted array. Nothing is hashed: the arcs are exactly those of :meth:`Lattice.arcs`.
+    """
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice = lattice
+        node: dict[str, int] = {"": 0}
+        for p in lattice.logs:
+            for n in range(1, len(p) + 1):
+                node.setdefault(p[:n], len(node))
+        names = [p for p in node if p]
+        keys = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in names], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array([node[p] for p in names], np.int64)[order]
+        self.weight = np.full(len(node), -np.inf)
+        self.named: list[str] = [""] * len(node)
+        for p, w in lattice.logs.items():
+            self.weight[node[p]] = w + lattice.go
+            self.named[node[p]] = p
+        self.deepest = max(map(len, names), default=1)
+
+    def _arcs(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log weights and nodes of the arcs, by (length - 1, word, begin), and the lengths of the words with their mark."""
+        sizes = np.array([len(w) + 1 for w in words])
+        codes = np.full((len(words), width), 0x1FFFFF, np.int64)
+        flat = np.frombuffer("".join([START + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.arange(width) < sizes[:, None]
+        codes[inside] = flat
+        deep = min(self.deepest, width)
+        weights = np.full((deep, len(words), width), -np.inf)
+        nodes = np.zeros((deep, len(words), width), np.int32)
+        at = np.flatnonzero(inside)
+        now = np.zeros(len(at), np.int64)
+        line = codes.ravel()
+        room = width - at % width
+        for n in range(deep):
+            fits = room > n
+            at, now, room = at[fits], now[fits], room[fits]
+            want = now << 21 | line[at + n]
+            place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            hit = self.keys[place] == want
+            at, now, room = at[hit], self.child[place[hit]], room[hit]
+            weights[n].ravel()[at] = self.weight[now]
+            nodes[n].ravel()[at] = now
+        # A character that is no piece goes by its bytes.
+        lost = inside & np.isneginf(weights[0])
+        points = codes[lost]
+        bytes_of = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        weights[0][lost] = (self.lattice.byte + self.lattice.go) * bytes_of
+        nodes[0][lost] = 0
+        return weights, nodes, sizes
+
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        if len(terms) == 1:
+            return terms[0]
+        both = np.stack(terms)
+        top = both.max(axis=0)
+        safe = np.where(np.isneginf(top), 0.0, top)
+        with np.errstate(divide="ignore"):
+            return safe + np.log(np.exp(both - safe).sum(axis=0))
+
+    def _forward(self, weights: np.ndarray) -> np.ndarray:
+        deep, n, width = weights.shape
+        alpha = np.full((width + 1, n), -np.inf)
+        alpha[0] = 0.0
+        for end in range(1, width + 1):
+            alpha[end] = self._sum([alpha[end - k] + weights[k - 1, :, end - k] for k in range(1, min(deep, end) + 1)])
+        return alpha
+
+    def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[str], int]]:
+        """Places and words of similar lengths, with the width that holds them; longer words than the last are left out."""
+        sizes = np.array([len(w) + 1 for w in words])
+        low = 0
+        for width in WIDTHS:
+            at = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for start in range(0, len(at), GROUP):
+                some = at[start:start + GROUP]
+                yield some, [words[i] for i in some], width
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """:meth:`Lattice.marginal` of each word."""
+        out = np.empty(len(words))
+        for at, some, width in self._groups(words):
+            weights, _, sizes = self._arcs(some, width)
+            out[at] = self._forward(weights)[sizes, np.arange(len(some))] + self.lattice.stop
+        for i, w in enumerate(words):
+            if len(w) >= WIDTHS[-1]:
+                out[i] = self.lattice.marginal(w)
+        return out
+
+    def expected(self, words: list[str]) -> dict[str, float]:
+        """Expected counts of the pieces over all words, as :meth:`Lattice.expected` adds them up."""
+        total = np.zeros(len(self.weight))
+        for _, some, width in self._groups(words):
+            weights, nodes, sizes = self._arcs(some, width)
+            alpha = self._forward(weights)
+            deep, n = len(weights), len(some)
+            each = np.arange(n)
+            whole = alpha[sizes, each]
+            beta = np.full((width + 1, n), -np.inf)
+            beta[sizes, each] = 0.0
+            for begin in range(width - 1, -1, -1):
+                open_here = sizes > begin
+                found = self._sum([weights[k - 1, :, begin] + beta[begin + k] for k in range(1, min(deep, width - begin) + 1)])
+                beta[begin] = np.where(open_here, found, beta[begin])
+            for k in range(1, deep + 1):
+                spans = width + 1 - k
+                share = np.exp(np.minimum(alpha[:spans].T + weights[k - 1, :, :spans] + beta[k:].T - whole[:, None], 0.0))
+                total += np.bincount(nodes[k - 1, :, :spans].ravel(), share.ravel(), len(total))
+        out = {self.named[i]: total[i] for i in np.flatnonzero(total) if self.named[i]}
+        for w in words:
+            if len(w) >= WIDTHS[-1]:
+                self.lattice.expected(w, out)
+        return out
+
+
 def vocabulary(path: str) -> dict[str, float]:
     """Pieces of a model file with weights from their scores: the file's scores are negative ranks, taken by Zipf's law."""
     import sentencepiece
@@ -129,6 +253,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = HELD_BATCH) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``most`` rows, but for the last, so that words of one length come together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> Lattice:
     """Weights of the pieces after ``rounds`` of expectation over all distinct training words (w, c)."""
     weights, stop = vocabulary(path), 0.25
@@ -137,14 +275,15 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> Lattice:
         shared = words.sparkSession.sparkContext.broadcast((weights, stop))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(*shared.value)
-            found: dict[str, float] = {}
+            trie = Trie(Lattice(*shared.value))
+            found: Counter[str] = Counter()
             n = 0
-            for batch in batches:
-                for w in batch.column("w").to_pylist():
-                    lattice.expected(w, found)
-                    n += 1
-            named = [p for p in found if p in lattice.logs]
+            for some in gathered(batches):
+                some = some.column("w").to_pylist()
+                for p, x in trie.expected(some).items():
+                    found[p] += x
+                n += len(some)
+            named = [p for p in found if p in trie.lattice.logs]
             yield pa.RecordBatch.from_arrays([pa.array(["", *named]), pa.array([float(n), *[found[p] for p in named]])], ["p", "n"])
 
         got = {r.p: r.n for r in words.where("c > 0").select("w").mapInArrow(run, "p string, n double").groupBy("p").agg(F.sum("n").alias("n")).collect()}
@@ -194,10 +333,10 @@ def score_texts(docs: DataFrame, path: str, held_out: int = 2, folds: int = 7, d
     mass = (kept + 1) / (n + 1)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
-        for batch in batches:
+        trie = Trie(shared.value)
+        for batch in gathered(batches):
             counts = batch.column("c").to_numpy()
-            lattice_logs = np.array([use.marginal(w) for w in batch.column("w").to_pylist()], dtype=float)
+            lattice_logs = trie.marginals(batch.column("w").to_pylist())
             less = np.where(counts > 0, np.maximum(counts - np.array(cuts)[np.clip(counts, 1, 3) - 1], 0), 0) / (n + 1)
             with np.errstate(divide="ignore"):
                 both = np.logaddexp(np.log(less), math.log(mass) + lattice_logs) / math.log(10)

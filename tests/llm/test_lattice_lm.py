@@ -1,11 +1,12 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
 
-from stowline.llm.lattice_lm import START, Lattice, score_texts
+from stowline.llm.lattice_lm import FLOOR, START, Lattice, Trie, fit_pieces, score_texts, vocabulary
 from stowline.llm.queries import QUERIES
 from tests.llm import brute
 from tests.llm.data import docs_frame, table_rows
@@ -31,6 +32,67 @@ def test_marginal_sums_all_segmentations():
     assert Lattice(pieces, 0.3).marginal("aé" * 3000) > -math.inf
 
 
+def test_many_words_at_once_equal_one_by_one():
+    rng = random.Random(3)
+    lattice = Lattice(vocabulary(PATH), 0.25)
+    trie = Trie(lattice)
+    words = ["".join(rng.choice("abcdeéß日😀ngitr") for _ in range(rng.randint(1, 30))) for _ in range(400)] + ["the", "z" * 47, "z" * 48, "ab" * 200, "x"]
+    assert all(math.isclose(a, lattice.marginal(w), rel_tol=1e-12) for a, w in zip(trie.marginals(words), words))
+    want = {}
+    for w in words:
+        lattice.expected(w, want)
+    got = trie.expected(words)
+    assert {p for p, n in want.items() if n > 1e-9 and p in lattice.logs} <= set(got)
+    assert all(math.isclose(got.get(p, 0.0), n, rel_tol=1e-9, abs_tol=1e-9) for p, n in want.items() if p in lattice.logs)
+    assert len(trie.marginals([])) == 0 and trie.expected([]) == {}
+
+
+def plain_score(rows, lattice):
+    """The score of each text by plain sums of products over segmentations."""
+    train, docs = Counter(), 0
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
+            train.update(brute.words(t))
+            docs += 1
+    n = sum(train.values()) + docs
+    seen = Counter(train.values())
+    few = [seen[k] for k in range(1, 5)]
+    cuts = [0.5] * 3
+    if all(few):
+        y = few[0] / (few[0] + 2 * few[1])
+        cuts = [min(max(k - (k + 1) * y * few[k] / few[k - 1], 0.05), 0.95) for k in (1, 2, 3)]
+    mass = (sum(cuts[min(c, 3) - 1] for c in train.values()) + 1) / (n + 1)
+    pieces, go = {p: math.exp(w) for p, w in lattice.logs.items()}, math.exp(lattice.go)
+
+    def spelled(word):
+        text = START + word
+        ways = [1.0] + [0.0] * len(text)
+        for end in range(1, len(text) + 1):
+            for begin in range(max(0, end - 16), end):
+                part = text[begin:end]
+                if part in pieces:
+                    ways[end] += ways[begin] * pieces[part] * go
+                elif len(part) == 1:
+                    ways[end] += ways[begin] * (FLOOR * go) ** len(part.encode())
+        return ways[-1] * math.exp(lattice.stop)
+
+    out = []
+    for d, t in rows:
+        logs = [math.log10(max(train[w] - cuts[min(train[w], 3) - 1], 0) / (n + 1) + mass * spelled(w) if train[w] else mass * spelled(w)) for w in brute.words(t)]
+        out.append((d, sum(logs) + math.log10(max(docs, 0.5) / (n + 1))))
+    return out
+
+
+def test_scores_equal_plain_sums(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["The", "cat", "sat", "on", "mats", "élan", "x1", "new" + str(rng.randrange(30))]) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    counted = spark.createDataFrame([(w, c) for w, c in Counter(
+        w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in brute.words(t)).items()], "w string, c long")
+    want = dict(plain_score(rows, fit_pieces(counted, PATH)))
+    for r in score_texts(docs_frame(spark, rows), PATH).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), r
+
+
 def base_of(rows):
     train = Counter()
     for d, t in rows:
