@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stowline.llm.common import pick, pieces
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 SHORT = 256
 #: In these ranges the letter, number, space and case classes are the same in all Unicode versions since 6.
 _ODD = re.compile("[^\x00-ʯΑ-ΡΣ-ωЀ-ӿ‐-‧€]")

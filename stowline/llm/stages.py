@@ -13,17 +13,23 @@ from stowline.session import cut_lineage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity model, trained on the labels, does not reject."""
+    """The documents that the toxicity model, trained on the labels, does not reject.
+
+    Null, empty and blank texts stay; repeated rows share their fate; columns of any name are carried as they are.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    names = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.toxicity(docs, model, keep=names).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines of templates that recur across them; every document stays."""
-    cut = line_templates.drop_recurring_lines(docs, out="_kept")
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("bigint")}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """The documents without lines of templates that recur across them; every document stays.
+
+    A null text stays null; ``n_chars`` follows the text; columns of any name are carried as they are.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    cut = line_templates.drop_recurring_lines(docs.select(rest, "text"))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ SAMPLE_ROWS = 4000
 LANDMARKS = 256
 NEGATIVES = 3000
 CLEAN_RATE = 0.02
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 THRESHOLD = 0.3
 SECOND = 0.1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
@@ -68,12 +68,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Positions and words of each length, at most 4,000 at once."""
+    """Positions and words of each length, at most 1,000 at once."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for start in range(0, len(at), 4000):
-            some = at[start:start + 4000]
+        for start in range(0, len(at), 1000):
+            some = at[start:start + 1000]
             yield some, [words[x] for x in some]
 
 
@@ -172,10 +172,18 @@ def fit_words(bags: list[tuple[int, list[str]]], rows: tuple[int, int], landmark
     """Train on bags (toxic, tokens): a toxic bag holds at least one toxic word, a clean one none.
 
     The witness of each toxic bag is its word of greatest decision value; it starts as the word whose presence tells
-    the classes apart best. ``rows``: clean and toxic rows that the sample stands for, which weight the calibration.
+    the classes apart best. Bags without a witness that others bear out don't train, as their labels may be wrong. ``rows``: clean and toxic rows that the sample stands for, which weight the calibration.
     """
     flat = Model(np.zeros(SYMBOLS**3), 0.0, 0.0, -40.0)
-    bags = [(y, sorted({part for w in words for part in windows(normal(w))})) for y, words in bags]
+    # Texts share most of their words, so each word's windows are made once and the bags hold references.
+    parts: dict[str, list[str]] = {}
+    for _, words in bags:
+        for w in words:
+            if w not in parts:
+                parts[w] = windows(normal(w))
+    shared: dict[str, str] = {}
+    bags = [(y, sorted({shared.setdefault(part, part) for w in words for part in parts[w]})) for y, words in bags]
+    parts.clear()
     toxic = [words for y, words in bags if y and words]
     clean = [words for y, words in bags if not y]
     if not toxic:
@@ -196,8 +204,17 @@ def fit_words(bags: list[tuple[int, list[str]]], rows: tuple[int, int], landmark
     hard: list[str] = []
     model = flat
     every = sorted({*in_toxic, *in_clean})
+    # Labels err, and a word of few toxic texts alone may be any of their words. A witness has to stand in so many toxic texts,
+    # copies counted once, that not one word of all would by chance stand in these only; or in the square root of them.
+    told = Counter(w for ws in {tuple(ws) for ws in toxic} for w in ws)
+    chance = np.log(len(toxic) / (len(toxic) + len(learned))) if learned else -1.0
+    least = max(2, int(min(len(toxic) ** 0.5, np.log(len(told) + 1) / -chance)))
+    # Words that many toxic texts and hardly a clean one hold are toxic even where a text has a better witness.
+    plain = {w: n for w, n in told.items() if n >= least and not in_clean[w]}
     for _ in range(rounds):
-        positive = Counter(witnesses)
+        positive = Counter([w for w in witnesses if told[w] >= least] or witnesses)
+        for w, n in plain.items():
+            positive[w] = max(positive[w], n)
         negative = list(dict.fromkeys(w for w in [*hard, *order[:NEGATIVES]] if w not in positive or in_clean[w] > in_toxic[w]))
         chosen = [w for w, _ in positive.most_common(landmarks // 2)]
         used, basis = _nystroem(list(dict.fromkeys([*chosen, *negative[: landmarks - len(chosen)]])))
@@ -229,8 +246,9 @@ def fit_words(bags: list[tuple[int, list[str]]], rows: tuple[int, int], landmark
         margin = dict(zip(every, model.margins(every)))
         return np.array([model.top([margin[w] for w in ws]) for ws in some])
 
-    high, low = best(toxic), best(unseen)
-    weight = np.r_[np.full(len(high), rows[1] / len(toxic)), np.full(len(low), rows[0] / max(len(unseen), 1))]
+    backed = [words for words, w in zip(toxic, witnesses) if told[w] >= least] or toxic
+    high, low = best(backed), best(unseen)
+    weight = np.r_[np.full(len(high), rows[1] / len(backed)), np.full(len(low), rows[0] / max(len(unseen), 1))]
     model.slope, model.offset = _logistic(np.r_[high, low], np.r_[np.ones(len(high)), np.zeros(len(low))], weight)
     if len(low) and (gap := np.quantile(high, 0.02) - (top := np.quantile(low, 0.998))) > 0:
         # The classes part: the threshold goes nearer to the clean side, as disguised words score below plain ones.
@@ -285,44 +303,77 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_
     for y in (0, 1):
         one = marked.where(F.col("y") == y).orderBy(F.xxhash64("d"), "d").limit(half)
         chosen = one if chosen is None else chosen.unionByName(one)
-    bags = (
+    found = (
         pick(docs, d=doc_id, t=text).where("t IS NOT NULL").join(F.broadcast(chosen), "d")
         .select("d", "y", F.array_distinct(F.split(F.lower("t"), r"\s+")).alias("w"))
-        .toPandas().sort_values("d")
+        .toArrow().sort_by("d")
     )
-    rows = [(int(y), [w for w in words if w]) for y, words in zip(bags["y"], bags["w"])]
+    known: dict[str, str] = {}
+    rows = []
+    for y, words in zip(found.column("y").to_pylist(), found.column("w")):
+        rows.append((int(y), [known.setdefault(w, w) for w in words.as_py() if w]))
+    del found, known
     return fit_words(rows, (counts.get(0, 0), counts.get(1, 0)))
 
 
+def _scorer(model: Model):
+    """A function from arrays of texts to arrays of scores, with the words' values remembered up to a bound."""
+    known: dict[str, float] = {}
+    empty = model.score(model.bias)
+
+    def scores(texts: list[str | None]) -> pa.Array:
+        found = [tokens(t) if t else set() for t in texts]
+        new = list({w for ws in found for w in ws if w not in known})
+        for start in range(0, len(new), 20_000):
+            part = new[start:start + 20_000]
+            known.update(zip(part, model.margins(part).tolist()))
+        out = [model.score(model.top([known[w] for w in ws])) if ws else empty for ws in found]
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        return pa.array(out, pa.float64())
+
+    return scores
+
+
 def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
              keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text, one row per row; ``keep`` names further columns to carry.
+    """(doc_id, score, predicted) of every whole text, one row per row; ``keep`` names further columns to carry, of other names.
 
     A text scores by its word of greatest decision value, so each word counts however long the text is. Null, empty
     and blank texts score as a word without any known triple does; null ids are kept; repeated rows score alike; an
-    empty table gives an empty one. One map without a shuffle; the model is one table of 64**3 weights (2 MB).
+    empty table gives an empty one; other columns are ignored. One map without a shuffle; the model is one table of
+    64**3 weights (2 MB).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     carried = {f"c{i}": name for i, name in enumerate(keep)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
-        known: dict[str, float] = {}
-        empty = use.score(use.bias)
+        scores = _scorer(shared.value)
         for batch in batches:
             for some in pieces(batch, "t"):
-                found = [tokens(t) if t else set() for t in some.column("t").to_pylist()]
-                new = list({w for ws in found for w in ws if w not in known})
-                for start in range(0, len(new), 20_000):
-                    part = new[start:start + 20_000]
-                    known.update(zip(part, use.margins(part).tolist()))
-                scores = [use.score(use.top([known[w] for w in ws])) if ws else empty for ws in found]
-                columns = [some.column("d"), *[some.column(c) for c in carried], pa.array(scores, pa.float64()),
-                           pa.array([int(s >= threshold) for s in scores], pa.int32())]
+                found = scores(some.column("t").to_pylist())
+                high = [int(s >= threshold) for s in found.to_pylist()]
+                columns = [some.column("d"), *[some.column(c) for c in carried], found, pa.array(high, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, [doc_id, *keep, "score", "predicted"])
-                if len(known) > CACHED_WORDS:
-                    known.clear()
 
     schema = ", ".join([f"`{doc_id}` {kinds[doc_id]}", *[f"`{n}` {kinds[n]}" for n in keep], "score double", "predicted int"])
     return pick(docs, d=doc_id, t=text, **carried).mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose text scores below ``threshold``; see :func:`toxicity`.
+
+    Only the texts go to Python and only scores come back; the rows wait in the JVM, which may spill them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = _scorer(shared.value)
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([part], ["t"])
+            yield pa.chunked_array([scores(some.column("t").to_pylist()) for some in pieces(batch, "t")], pa.float64()).combine_chunks()
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.where(score(F.col("row").getField(text)) < threshold).select("row.*")

@@ -72,3 +72,18 @@ def test_stages_take_odd_rows(spark):
             out = stage(spark, some, SF_DIR)
             assert out.columns == docs.columns
             assert out.count() == (0 if some is not docs else 6), name
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns named like those that the operators add or use inside come back as they were."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "predicted", "_kept", "kept", "n_lines", "n_dropped", "row", "gone", "t", "x", "margin"]
+    line = "the same footer line of every page\n"
+    docs = docs_frame(spark, [(i, f"{'abcdefghij'[i % 10] * 3} own words {i} here\n{line}") for i in range(30)]).drop("d", "t", "score")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n}-{r.doc_id}" for n in names), name
