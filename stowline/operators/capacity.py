@@ -32,16 +32,20 @@ def with_usable(capacity: DataFrame, reserve: int | Column = DEFAULT_RESERVE, in
 
 
 def capacity_report(capacity: DataFrame, projected: DataFrame, reserve: int = DEFAULT_RESERVE) -> DataFrame:
-    """Free, usable and projected bytes per location, with subtotals per kind and removable flag.
+    """Used, free, quota, reserve, usable and projected bytes per location, with subtotals per removable flag, kind and library.
 
-    ``projected`` holds (library_id, location_id, free_after) of a plan; without one free stays.
+    A subtotal has NULL in the columns it runs over; ``locations`` counts what a row sums. ``projected`` holds
+    (library_id, location_id, free_after) of a plan; without one free stays. Only volumes keep the reserve.
     """
     joined = with_usable(capacity, reserve).join(projected, ["library_id", "location_id"], "left")
-    flat = joined.withColumn("projected", F.coalesce("free_after", "free_bytes"))
-    totals = flat.rollup("kind", "removable").agg(
-        F.count(F.lit(1)).alias("locations"), F.sum("free_bytes").alias("free_bytes"),
-        F.sum("usable").alias("usable"), F.sum("projected").alias("projected"),
-    )
+    flat = joined.withColumn("projected", F.coalesce("free_after", "free_bytes")).withColumn(
+        "reserve", F.when(F.col("kind") == "volume", F.lit(reserve)).otherwise(F.lit(0)).cast("long"))
+    for column in ("used_bytes", "quota_bytes"):
+        if column not in flat.columns:
+            flat = flat.withColumn(column, F.lit(None).cast("long"))
+    totals = flat.rollup("library_id", "kind", "removable", "location_id").agg(
+        F.count(F.lit(1)).alias("locations"),
+        *[F.sum(c).alias(c) for c in ("used_bytes", "free_bytes", "quota_bytes", "reserve", "usable", "projected")])
     return totals.withColumn("free_text", format_bytes(F.col("free_bytes")))
 
 

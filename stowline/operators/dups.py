@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stowline.operators.identity import BLOB_KEY
 from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in, skew_join
+from stowline.session import cut_lineage
 
 
 def confirmed_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
@@ -23,7 +24,11 @@ def confirmed_dups(contents: DataFrame, key: Sequence[str] = ("library_id", "con
 
 
 def dup_members(contents: DataFrame, key: Sequence[str] = ("library_id", "content_id")) -> DataFrame:
-    """The files of the confirmed groups, one row each, instead of a list per group."""
+    """The files of the confirmed groups, one row each, instead of a list per group.
+
+    The contents are stored first: they are read several times, but the bodies behind their ids must be hashed once only.
+    """
+    contents = cut_lineage(contents)
     groups = contents.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("replicas")).filter(F.col("replicas") > 1)
     return skew_join(contents, groups, key, "inner")
 

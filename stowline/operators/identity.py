@@ -32,9 +32,10 @@ def quick_hash(df: DataFrame, content: str = "content") -> DataFrame:
 def prefilter_candidates(probes: DataFrame) -> DataFrame:
     """Rows that share (size, head) with another: only these need a full digest.
 
-    The groups are found by an aggregate that reduces before its shuffle; the rows come back by a
-    semi-join that leaves the rows of hot groups in place.
+    The probes are stored first, as each body must be read once only. The groups are found by an aggregate that reduces
+    before its shuffle; the rows come back by a semi-join that leaves the rows of hot groups in place.
     """
+    probes = cut_lineage(probes)
     shared = probes.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "head")
     return skew_join(probes, shared, ["size", "head"], "left_semi")
 
@@ -53,7 +54,7 @@ def dirty_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """
     state = ["library_id", "_space", "_item", "_size", "_mtime"]
     stamp = [F.coalesce(F.col("size").cast("string"), F.lit("-")).alias("_size"),
-             F.coalesce(F.unix_micros(F.col("mtime_utc").cast("timestamp")).cast("string"), F.lit("-")).alias("_mtime")]
+             F.coalesce(F.col("mtime_utc").cast("string"), F.lit("-")).alias("_mtime")]
     hashed = known.filter(F.col("content_id").isNotNull()).select("library_id", *stable_key(), *stamp).distinct()
     local = files.filter(F.col("hydration") == "local_full").select("*", *stable_key(), *stamp)
     return local.join(hashed, state, "left_anti").select(*files.columns)
@@ -62,11 +63,12 @@ def dirty_files(files: DataFrame, known: DataFrame) -> DataFrame:
 def attach_bindings(files: DataFrame, checksums: DataFrame) -> DataFrame:
     """Files whose (provider, algo, hex, size) is bound to a blob, with the lowest such blob id.
 
-    The bindings are reduced to one blob per digest before the join, so copies never multiply.
+    The bindings are reduced to one blob per digest before the join, so copies never multiply; a digest that very many
+    files have is met in place.
     """
     key = ["library_id", "provider_id", "algo", "hex", "size"]
     bound = checksums.filter(F.col("blob_id").isNotNull()).groupBy(*key).agg(F.min("blob_id").alias("blob_id"))
-    hits = files.select("library_id", "provider_id", "file_id", "algo", "hex", "size").join(bound, key)
+    hits = skew_join(files.select("library_id", "provider_id", "file_id", "algo", "hex", "size"), bound, key, "inner")
     return hits.groupBy("library_id", "file_id").agg(F.min("blob_id").alias("blob_id")).withColumn(
         "state", F.lit("suspect"))
 

@@ -148,15 +148,15 @@ def mime_lookup(files: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def provider_summary(providers: DataFrame, scans: DataFrame, files: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Provider, last finished scan, file count and latest free bytes, one row each."""
+    """Provider, last finished scan and its time, file count and latest free bytes, one row each."""
     last = scans.filter(F.col("status") == "ok").groupBy("library_id", "provider_id").agg(
-        F.max("id").alias("last_scan_id"))
+        F.max("id").alias("last_scan_id"), F.max_by("finished_at", "id").cast("timestamp").alias("last_index_at"))
     counts = files.groupBy("library_id", "provider_id").agg(F.count(F.lit(1)).alias("files"))
     free = capacity.groupBy("library_id", "provider_id").agg(F.sum("free_bytes").alias("free_bytes"))
     keyed = providers.withColumnRenamed("id", "provider_id")
     for side in (last, counts, free):
         keyed = keyed.join(side, ["library_id", "provider_id"], "left")
     return keyed.select(
-        "library_id", "provider_id", "kind", "account", "last_scan_id",
+        "library_id", "provider_id", "kind", "account", "last_scan_id", "last_index_at",
         F.coalesce("files", F.lit(0).cast("long")).alias("files"), "free_bytes",
     )

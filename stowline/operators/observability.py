@@ -61,11 +61,13 @@ def retain_logs(logs: DataFrame, days: int = DAYS_KEPT) -> DataFrame:
         "kept", F.coalesce("_kept", F.col("log_day").isNull())).drop("_kept")
 
 
-def standard_metrics(files: DataFrame, ops: DataFrame, journal: DataFrame, capacity: DataFrame) -> DataFrame:
+def standard_metrics(files: DataFrame, ops: DataFrame, journal: DataFrame, capacity: DataFrame, plans: DataFrame,
+                     hash_seconds: float | None = None) -> DataFrame:
     """The ``index``, ``plan``, ``apply`` and ``space`` metrics as (name, kind, value) rows.
 
-    ``files`` carry size and is_hashed; ``ops`` carry residual_during; ``journal`` the latest state per
-    op with size and verify_failed; ``capacity`` free_bytes, usable and drifted.
+    ``files`` carry size and is_hashed; ``ops`` are one row per operation with its lowest residual_during; ``plans`` carry
+    status; ``journal`` the latest state per op with size and verify_failed; ``capacity`` free_bytes, usable and drifted.
+    ``hash_seconds``, the measured time of the run, adds ``index.hash_mib_s``.
     """
     zero = F.lit(0)
 
@@ -84,14 +86,15 @@ def standard_metrics(files: DataFrame, ops: DataFrame, journal: DataFrame, capac
         F.count_if("verify_failed").cast("double").alias("apply.verify_failures"))
     space = capacity.agg(total("free_bytes").alias("space.free"), total("usable").alias("space.usable"),
                          F.count_if("drifted").cast("double").alias("space.drift_events"))
+    stuck = plans.agg(F.count_if(F.col("status") == "unsatisfiable").cast("double").alias("plan.unsatisfiable"))
     gauges = {"plan.min_residual", "space.free", "space.usable"}
     out = None
-    for table in (index, plan, apply, space):
+    for table in (index, plan, stuck, apply, space):
         entries = [F.struct(F.lit(c).alias("name"), F.lit("gauge" if c in gauges else "counter").alias("kind"),
                             F.col(f"`{c}`").alias("value")) for c in table.columns]
         rows = table.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out if hash_seconds is None else out.unionByName(hash_rate(out, hash_seconds))
 
 
 def hash_rate(metrics: DataFrame, seconds: float) -> DataFrame:
@@ -102,8 +105,8 @@ def hash_rate(metrics: DataFrame, seconds: float) -> DataFrame:
 
 
 def catalog_digest(files: DataFrame) -> DataFrame:
-    """Counts and bytes by location and collection with subtotals; holds no path or name."""
-    return files.rollup("location_id", "collection").agg(
+    """Counts and bytes by library, location and collection with subtotals; holds no path or name."""
+    return files.rollup("library_id", "location_id", "collection").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 

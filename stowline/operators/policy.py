@@ -11,7 +11,7 @@ from stowline.functions.paths import basename, place_key
 from stowline.functions.rules import KEEP_LOCAL, MATCH_INPUTS, Rule, collection_of, with_match_inputs
 from stowline.operators.capacity import most_free
 from stowline.operators.identity import BLOB_KEY
-from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in, running_sum
+from stowline.scale import ROWS_PER_BUCKET, lookup_join, order_buckets, rank_in, running_sum, skew_join
 
 POLICY_SCHEMA = ("library_id BIGINT, collection STRING, ord INT, keep_local STRING, min_replicas INT, "
                  "cloud_choice STRING, pin_local BOOLEAN, dest_subdir STRING")
@@ -183,7 +183,9 @@ def dest_conflicts(needs: DataFrame, files: DataFrame) -> DataFrame:
     keyed = needs.filter(F.col("dest_path").isNotNull()).withColumn("_key", place_key(F.col("dest_path")))
     rivals = keyed.groupBy("library_id", "dest", "_key").agg(
         (F.min("blob_id") != F.max("blob_id")).alias("_rivals"))
-    joined = keyed.join(at, ["library_id", "dest", "_key"], "left").join(rivals, ["library_id", "dest", "_key"])
+    # Both sides are one row a path, so the needs, of which very many may target one path, meet them once and in place.
+    state = rivals.join(at, ["library_id", "dest", "_key"], "left")
+    joined = skew_join(keyed, state, ["library_id", "dest", "_key"], "inner")
     same = (F.col("_low") == F.col("blob_id")) & (F.col("_high") == F.col("blob_id"))
     verdict = (
         F.when(F.col("_low").isNotNull() & ~same, "needs_manual").when(F.col("_rivals"), "needs_manual")
@@ -204,19 +206,23 @@ INTENT_SCHEMA = (
     "summary STRING, goal STRING, keep_local STRING, year INT, dedup STRING, "
     "collections ARRAY<STRUCT<name: STRING, mime_prefix: STRING>>, "
     "dests ARRAY<STRUCT<kind: STRING, location: STRING>>, "
+    "priorities ARRAY<STRUCT<kind: STRING, location: STRING, collection: STRING>>, "
     "needs_clarification ARRAY<STRING>"
 )
+# The kinds of dests and priorities that an intent may name.
+DEST_ROLES = {"LocalPath": "local", "ProviderSubdir": "cloud"}
+PRIORITIES = ("FreeVolume", "KeepPinned", "EvictUnpinnedArchivesFirst", "PreferNewestLocal", "UseShuttle")
 
 
 def compile_intents(intents: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Intent rows (library_id, intent_id, json) to policy rows, and the rejects with their reason.
 
-    Pending questions or an unknown location reject the whole intent. ``keep_local`` defaults to
+    Pending questions or an unknown location (a volume or cloud, up to a slash) reject the whole intent. ``keep_local`` defaults to
     ``prefer``; only a named local dest makes ``required`` stand. An intent without collections is one row without one.
     """
     read = intents.withColumn("i", F.from_json("json", INTENT_SCHEMA))
     named = read.select("library_id", "intent_id", F.explode("i.dests").alias("d")).select(
-        "library_id", "intent_id", F.col("d.location").alias("location_id"))
+        "library_id", "intent_id", F.substring_index("d.location", "/", 1).alias("location_id"))
     known = locations.select("library_id", F.col("location_id").cast("string").alias("location_id"))
     unknown = lookup_join(named, known, ["library_id", "location_id"], "left_anti").select(
         "library_id", "intent_id").distinct().withColumn("_unknown", F.lit(True))
@@ -240,6 +246,52 @@ def compile_intents(intents: DataFrame, locations: DataFrame) -> tuple[DataFrame
     return policies, rejects
 
 
+def intent_dests(intents: DataFrame, locations: DataFrame) -> DataFrame:
+    """Targets (library_id, intent_id, ord, role, location_id, dest_subdir) that accepted intents name, in their order.
+
+    A local dest is a volume, by itself or with a folder behind a slash; a provider dest is a cloud, likewise. Dests of other
+    kinds give no row. Rejected intents (see :func:`compile_intents`) give none either.
+    """
+    read = _accepted(intents, locations)
+    each = read.select("library_id", "intent_id", F.posexplode("i.dests").alias("ord", "d"))
+    roles = F.create_map(*[F.lit(x) for pair in DEST_ROLES.items() for x in pair])
+    place = F.substring_index("d.location", "/", 1)
+    return each.withColumn("role", F.element_at(roles, F.col("d.kind"))).filter(F.col("role").isNotNull()).select(
+        "library_id", "intent_id", "ord", "role", place.alias("location_id"),
+        F.when(F.contains("d.location", F.lit("/")), F.expr("substring(d.location, length(substring_index(d.location, '/', 1)) + 2)")).alias("dest_subdir"))
+
+
+def intent_priorities(intents: DataFrame, locations: DataFrame) -> DataFrame:
+    """Priorities (library_id, intent_id, ord, kind, location_id, collection) of accepted intents, in their order; kinds that are
+    not known are dropped, as hints never stop a plan."""
+    each = _accepted(intents, locations).select("library_id", "intent_id", F.posexplode("i.priorities").alias("ord", "p"))
+    return each.filter(F.col("p.kind").isin(*PRIORITIES)).select(
+        "library_id", "intent_id", "ord", F.col("p.kind").alias("kind"), F.col("p.location").alias("location_id"), F.col("p.collection").alias("collection"))
+
+
+def _accepted(intents: DataFrame, locations: DataFrame) -> DataFrame:
+    _, rejects = compile_intents(intents, locations)
+    read = intents.withColumn("i", F.from_json("json", INTENT_SCHEMA))
+    return read.join(rejects.select("library_id", "intent_id"), ["library_id", "intent_id"], "left_anti")
+
+
+def evict_hints(priorities: DataFrame) -> DataFrame:
+    """(library_id, location_id, hint): volumes to free, the first named first; what ``priority_rank`` and the plan order by."""
+    return priorities.filter((F.col("kind") == "FreeVolume") & F.col("location_id").isNotNull()).groupBy("library_id", "location_id").agg(
+        F.min("ord").cast("int").alias("hint"))
+
+
+def with_shuttle_hints(locations: DataFrame, priorities: DataFrame) -> DataFrame:
+    """Locations where only the named volumes hop, in libraries that name one that is mounted; others keep their roles."""
+    named = priorities.filter((F.col("kind") == "UseShuttle") & F.col("location_id").isNotNull()).select("library_id", "location_id").distinct()
+    kind = dict(locations.dtypes)["location_id"]
+    usable = locations.filter((F.col("kind") == "volume") & F.col("is_online")).select("library_id", "location_id")
+    named = named.withColumn("location_id", F.col("location_id").cast(kind)).join(usable, ["library_id", "location_id"], "left_semi").withColumn("_named", F.lit(True))
+    hinted = named.select("library_id").distinct().withColumn("_hinted", F.lit(True))
+    marked = lookup_join(lookup_join(locations, named, ["library_id", "location_id"], "left"), hinted, ["library_id"], "left")
+    return marked.withColumn("is_shuttle", F.when(F.col("_hinted"), F.coalesce("_named", F.lit(False))).otherwise(F.col("is_shuttle"))).drop("_named", "_hinted")
+
+
 def priority_rank(evicts: DataFrame, volumes_first: DataFrame, archives: str = "Archives",
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Evict order per library: hinted volumes by their rank, then unpinned archives, then largest first.

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.operators.capacity import DEFAULT_RESERVE
-from stowline.operators.identity import BLOB_KEY
+from stowline.operators.capacity import DEFAULT_RESERVE, require_online
+from stowline.operators.identity import BLOB_KEY, collision_audit
 from stowline.operators.policy import (
-    collapse_to_blob, compile_feasibility, desired_placement, dest_conflicts, dest_path, goal_locations)
+    collapse_to_blob, compile_feasibility, desired_placement, dest_conflicts, dest_path, evict_hints, goal_locations,
+    prefer_fallback, with_shuttle_hints)
 from stowline.plans.placement import can_evict, choose_source, classify_ops, need_place
-from stowline.plans.sequence import sequence
+from stowline.plans.sequence import NO_HINT, sequence
+from stowline.plans.shortfall import shortfall_report
 from stowline.plans.simulate import plan_summary, residual_maps, simulate
-from stowline.scale import ROWS_PER_BUCKET
+from stowline.scale import ROWS_PER_BUCKET, lookup_join
 from stowline.session import cut_lineage
 
 
@@ -27,45 +30,136 @@ class Plan:
     leftover: DataFrame
     dropped: DataFrame
     problems: DataFrame
+    warnings: DataFrame
+    offline: DataFrame
+    balance: DataFrame
     summary: DataFrame
+    created_at: datetime
+    reserve: int
 
 
-def plan_name(library: str = "library_id") -> Column:
-    return F.concat(F.lit("file-plan-"), F.substring(F.sha2(F.col(library).cast("string"), 256), 1, 8))
+def plan_name(created_at: datetime, library: str = "library_id") -> Column:
+    """Id of a library's plan of that moment: two plans of one library never share journal states."""
+    moment = created_at.astimezone(timezone.utc).isoformat(timespec="microseconds")
+    return F.concat(F.lit("file-plan-"), F.substring(F.sha2(F.concat_ws("|", F.col(library).cast("string"), F.lit(moment)), 256), 1, 8))
 
 
 def build_plan(replicas: DataFrame, policies: DataFrame, members: DataFrame, locations: DataFrame,
-               reserve: int = DEFAULT_RESERVE, rows_per_bucket: int = ROWS_PER_BUCKET) -> Plan:
+               reserve: int = DEFAULT_RESERVE, rows_per_bucket: int = ROWS_PER_BUCKET, created_at: datetime | None = None,
+               priorities: DataFrame | None = None) -> Plan:
     """One plan per library.
 
-    ``replicas`` is one row per file with blob_id, location_id, location_kind, size, state, hydration,
-    is_online, path and collection. Blobs shared by several policies get the strictest one.
+    ``replicas`` is one row per file with blob_id, location_id, location_kind, size, state, hydration, is_online, path and
+    collection; with ``kind`` only ``byte`` files take part, with ``content_id`` one that has several sizes stops its library.
+    A blob that is nowhere but in placeholders is not planned; blobs shared by several policies get the strictest one.
+    An unmounted volume that an operation would need stops the plan (``offline`` names it); nothing is skipped in silence.
+    ``created_at`` (now, if not given) makes the plan's id. ``priorities`` (see ``intent_priorities``) order what the rules
+    allow: volumes to free first, archives first, and the volume to hop over; no rule gives way to them.
     """
-    placed = desired_placement(replicas.select(*BLOB_KEY, "size", "collection"), policies)
+    moment = created_at or datetime.now(timezone.utc)
+    if "kind" in replicas.columns:
+        replicas = replicas.filter(F.col("kind") == "byte")
+    bodies = replicas.filter(F.col("hydration") != "placeholder")
+    placed = desired_placement(bodies.select(*BLOB_KEY, "size", "collection"), policies)
     blobs = cut_lineage(collapse_to_blob(placed))
     goals = cut_lineage(goal_locations(blobs, replicas, policies, members, locations))
     needs = choose_source(need_place(goals, replicas), replicas).join(blobs.select(*BLOB_KEY, "dest_subdir"), BLOB_KEY)
-    held = replicas.filter(F.col("hydration") != "placeholder").groupBy(*BLOB_KEY, F.col("location_id").alias("dest")).agg(
-        F.min("path").alias("held_path"))
+    held = bodies.groupBy(*BLOB_KEY, F.col("location_id").alias("dest")).agg(F.min("path").alias("held_path"))
     needs = dest_path(needs, held)
     there = replicas.select("library_id", "location_id", "path", "blob_id")
-    needs = cut_lineage(dest_conflicts(needs, there))
+    away = replicas.filter(unmounted()).select(*BLOB_KEY).distinct().withColumn("away", F.lit(True))
+    needs = cut_lineage(dest_conflicts(needs, there).join(away, BLOB_KEY, "left"))
     clear = needs.filter(F.col("verdict") == "clear")
     evicts = can_evict(goals, replicas, clear, blobs)
+    split = _collisions(replicas)
+    if split is not None:
+        clear, evicts = (x.join(F.broadcast(split), ["library_id"], "left_anti") for x in (clear, evicts))
+    if priorities is not None:
+        evicts = hinted_evicts(evicts, blobs, priorities)
+        locations = with_shuttle_hints(locations, priorities)
     classed = classify_ops(clear, evicts)
     done = sequence(classed, evicts, replicas, locations, reserve, rows_per_bucket)
     paths = needs.select(*BLOB_KEY, "dest", "dest_path")
-    ops = cut_lineage(done.ops.withColumn("plan_id", plan_name()).join(paths, [*BLOB_KEY, "dest"], "left"))
+    ops = cut_lineage(done.ops.withColumn("plan_id", plan_name(moment)).join(paths, [*BLOB_KEY, "dest"], "left"))
     residuals = simulate(ops, locations, rows_per_bucket)
-    problems = plan_problems(needs, done.leftover, blobs, goals, policies, members)
-    return Plan(goals, needs, ops, residuals, done.leftover, done.dropped, problems, plan_summary(ops, residuals, problems))
+    offline = cut_lineage(offline_volumes(blobs, needs, done.leftover, replicas, members, locations).withColumn("plan_id", plan_name(moment)))
+    problems = cut_lineage(plan_problems(needs, done.leftover, blobs, goals, policies, members, offline, split).withColumn("plan_id", plan_name(moment)))
+    warnings = plan_warnings(goals, replicas, ops).withColumn("plan_id", plan_name(moment))
+    summary = plan_summary(ops, residuals, problems)
+    return Plan(goals, needs, ops, residuals, done.leftover, done.dropped, problems, warnings, offline, done.balance, summary, moment, reserve)
+
+
+def hinted_evicts(evicts: DataFrame, blobs: DataFrame, priorities: DataFrame, archives: str = "Archives") -> DataFrame:
+    """Evict candidates with ``hint``: by the named volumes, then unpinned archives where the library asks for them first."""
+    kind = dict(evicts.dtypes)["location_id"]
+    volumes = evict_hints(priorities).withColumn("location_id", F.col("location_id").cast(kind)).withColumnRenamed("hint", "_volume")
+    asked = priorities.filter(F.col("kind") == "EvictUnpinnedArchivesFirst").select("library_id").distinct().withColumn("_archives", F.lit(True))
+    rows = lookup_join(lookup_join(evicts, volumes, ["library_id", "location_id"], "left"), asked, ["library_id"], "left")
+    rows = rows.join(blobs.select(*BLOB_KEY, "collection"), BLOB_KEY, "left")
+    later = F.when(F.col("_archives") & (F.col("collection") == archives), 0).otherwise(1)
+    return rows.withColumn("hint", F.least(F.coalesce("_volume", F.lit(NO_HINT // 4)), F.lit(NO_HINT // 4)) * 2 + later).drop(
+        "_volume", "_archives", "collection")
+
+
+def _collisions(replicas: DataFrame) -> DataFrame | None:
+    """Libraries with a content id of several sizes; libraries are few."""
+    if "content_id" not in replicas.columns:
+        return None
+    found = cut_lineage(collision_audit(replicas.filter(F.col("size").isNotNull()), ["library_id", "content_id"]).select("library_id").distinct())
+    return None if found.isEmpty() else found
+
+
+def unmounted() -> Column:
+    """A whole copy on a volume that is not mounted."""
+    return ~F.col("is_online") & (F.col("hydration") != "placeholder") & F.col("state").isin("verified", "suspect")
+
+
+def offline_volumes(blobs: DataFrame, needs: DataFrame, leftover: DataFrame, replicas: DataFrame, members: DataFrame,
+                    locations: DataFrame) -> DataFrame:
+    """(library_id, role, location_id, label, volume_serial, blobs): unmounted volumes that the plan needs.
+
+    A dest: a policy's local target without the blob. A source: the only place that a needed blob could be copied from. A
+    staging volume: one with that role, while a shuttle found no room to hop.
+    """
+    down = locations.filter((F.col("kind") == "volume") & ~F.col("is_online"))
+    finals = down.filter("is_final").select("library_id", F.col("location_id").alias("dest"))
+    local = members.filter(F.col("role") == "local").select("library_id", "collection", F.col("location_id").alias("dest"))
+    targets = local.join(finals, ["library_id", "dest"], "left_semi").groupBy("library_id", "collection").agg(F.collect_set("dest").alias("_dests"))
+    wanted = lookup_join(blobs.filter((F.col("keep_local") != "cloud_only") & F.col("size").isNotNull()), targets, ["library_id", "collection"], "inner")
+    wanted = wanted.select(*BLOB_KEY, F.explode("_dests").alias("dest"))
+    away = replicas.filter(unmounted())
+    missing = wanted.join(away.select(*BLOB_KEY, F.col("location_id").alias("dest")).distinct(), [*BLOB_KEY, "dest"], "left_anti")
+    null = F.lit(None).cast(dict(locations.dtypes)["location_id"])
+    only = needs.filter("no_source").select(*BLOB_KEY).distinct().join(away.select(*BLOB_KEY, F.col("location_id").alias("src")).distinct(), BLOB_KEY)
+    hop = leftover.filter(F.col("op_class") == "shuttle").groupBy("library_id").agg(F.count(F.lit(1)).alias("blob_id")).join(
+        down.filter("is_shuttle").select("library_id", F.col("location_id").alias("staging")), "library_id")
+    head = ["library_id", "src", "dest", "staging", "n"]
+    asked = missing.groupBy("library_id", "dest").agg(F.count(F.lit(1)).alias("n")).withColumns({"src": null, "staging": null}).select(*head).unionByName(
+        only.groupBy("library_id", "src").agg(F.count(F.lit(1)).alias("n")).withColumns({"dest": null, "staging": null}).select(*head)).unionByName(
+        hop.withColumnRenamed("blob_id", "n").withColumns({"src": null, "dest": null}).select(*head))
+    named = locations
+    for column in ("label", "volume_serial"):
+        if column not in locations.columns:
+            named = named.withColumn(column, F.lit(None).cast("string"))
+    touched = require_online(asked.withColumn("plan_id", F.lit("")).withColumnRenamed("n", "seq"), named)
+    return touched.select("library_id", "role", "location_id", "label", "volume_serial", F.col("seq").alias("blobs"))
+
+
+def plan_warnings(goals: DataFrame, replicas: DataFrame, ops: DataFrame) -> DataFrame:
+    """(library_id, blob_id, warning, wanted, placed, reason): preferred copies given up, and fewer copies than wanted for it."""
+    whole = replicas.filter((F.col("hydration") != "placeholder") & F.col("state").isin("verified", "suspect"))
+    there = whole.select(*BLOB_KEY, F.col("location_id").alias("dest")).unionByName(ops.filter("kind <> 'evict'").select(*BLOB_KEY, "dest"))
+    judged = prefer_fallback(goals.filter(F.col("size").isNotNull()), there)
+    told = F.filter(F.array(F.when(F.col("local_preferred_unmet"), "local_preferred_unmet"),
+                            F.when(F.col("replica_shortfall"), "replica_shortfall")), lambda w: w.isNotNull())
+    return judged.select(*BLOB_KEY, F.explode(told).alias("warning"), "wanted", "placed", F.lit("prefer_dropped_local").alias("reason"))
 
 
 def plan_problems(needs: DataFrame, leftover: DataFrame, blobs: DataFrame, goals: DataFrame, policies: DataFrame,
-                  members: DataFrame) -> DataFrame:
-    """Rows (library_id, plan_id, problem, reason, n): why a plan cannot be applied as it is."""
+                  members: DataFrame, offline: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """Rows (library_id, problem, reason, n): why a plan cannot be applied as it is."""
     soft = (F.col("keep_local") == "prefer") & (F.col("dest_kind") == "volume")
-    no_source = needs.filter(F.col("no_source") & ~soft).select("library_id", F.lit("no_source").alias("reason"))
+    no_source = needs.filter(F.col("no_source") & ~soft & ~F.coalesce("away", F.lit(False))).select("library_id", F.lit("no_source").alias("reason"))
     left = leftover.filter(~soft).select("library_id", F.lit("leftover").alias("reason"))
     local = goals.filter(F.col("dest_kind") == "volume").select(*BLOB_KEY).distinct()
     homeless = blobs.filter(F.col("keep_local") == "required").join(local, BLOB_KEY, "left_anti").select(
@@ -75,12 +169,32 @@ def plan_problems(needs: DataFrame, leftover: DataFrame, blobs: DataFrame, goals
     used = blobs.select("library_id", "collection").distinct()
     never = compile_feasibility(policies, members).join(used, ["library_id", "collection"], "left_semi").select(
         "library_id", F.lit("infeasible_policy").alias("reason"))
-    hard = no_source.unionByName(left).unionByName(homeless).unionByName(no_goal).unionByName(never)
+    away = offline.select("library_id", F.lit("volume_offline").alias("reason"))
+    hard = no_source.unionByName(left).unionByName(homeless).unionByName(no_goal).unionByName(never).unionByName(away)
+    if split is not None:
+        hard = hard.unionByName(split.select("library_id", F.lit("content_id_collision").alias("reason")))
     manual = needs.filter(F.col("verdict") == "needs_manual").select("library_id", F.lit("dest_conflict").alias("reason"))
-    counted = hard.withColumn("problem", F.lit("unsatisfiable")).unionByName(
+    return hard.withColumn("problem", F.lit("unsatisfiable")).unionByName(
         manual.withColumn("problem", F.lit("needs_manual"))).groupBy("library_id", "problem", "reason").agg(
         F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("plan_id", plan_name())
+
+
+def plan_shortfall(plan: Plan) -> DataFrame:
+    """What each location would need to let the plan's leftovers in, preferred local copies aside; see ``shortfall_report``."""
+    soft = (F.col("keep_local") == "prefer") & (F.col("dest_kind") == "volume")
+    return shortfall_report(plan.leftover.filter(~soft), plan.balance, plan.reserve, plan.ops)
+
+
+def stored_plans(plan: Plan) -> DataFrame:
+    """One row per plan, ready for the ``plans`` table; the summary counts ops, bytes, warnings and problems as JSON."""
+    told = plan.warnings.groupBy("library_id", "warning").agg(F.count(F.lit(1)).alias("n")).groupBy("library_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("warning", "n")))).alias("warnings"))
+    wrong = plan.problems.groupBy("library_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("problems"))
+    rows = plan.summary.join(told, "library_id", "left").join(wrong, "library_id", "left")
+    return rows.select(
+        "library_id", "plan_id", F.lit(plan.created_at).cast("timestamp").alias("created_at"), "status",
+        F.to_json(F.struct("ops", "moved_bytes", "warnings", "problems")).alias("summary"),
+        F.coalesce("min_residual", F.lit(0).cast("long")).alias("min_residual"), F.lit(plan.reserve).cast("long").alias("staging_reserve"))
 
 
 def stored_ops(plan: Plan) -> DataFrame:

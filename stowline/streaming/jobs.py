@@ -67,9 +67,9 @@ def stream_metrics(events: DataFrame, folder: str, checkpoint: str) -> Streaming
     return append_batches(running, folder, checkpoint, mode="update")
 
 
-def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest stored row per metric."""
-    stored = read_batches(spark, folder, "name STRING, kind STRING, total BIGINT, last BIGINT")
+def read_metrics(spark: SparkSession, folder: str, value: str = "BIGINT") -> DataFrame:
+    """Newest stored row per metric; ``value`` is the type of the values that were streamed, DOUBLE for fractional gauges."""
+    stored = read_batches(spark, folder, f"name STRING, kind STRING, total {value}, last {value}")
     newest = stored.groupBy("name", "kind").agg(F.max_by(F.struct("total", "last"), BATCH).alias("m"))
     return newest.select("name", "kind", F.when(F.col("kind") == "counter", F.col("m.total")).otherwise(F.col("m.last")).alias("value"))
 

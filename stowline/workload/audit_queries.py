@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stowline.operators import acl, capacity, doctor, inventory, journal, observability
+from stowline.plans.simulate import PLAN
 from stowline.sources.logs import parse_log_lines
 from stowline.workload.plan_queries import residuals
 from stowline.workload.policy_queries import RESERVE, classified
@@ -329,10 +330,12 @@ def _(t):
 
 
 @query("standard_metrics", f"""
-WITH r AS (SELECT min(residual_during)::DOUBLE AS m, count(*)::DOUBLE AS n FROM o_residuals)
+WITH r AS (SELECT min(residual_during)::DOUBLE AS m, count(DISTINCT (library_id, plan_id, seq))::DOUBLE AS n FROM o_residuals)
 SELECT 'index.files_seen' AS name, 'counter' AS kind, (SELECT count(*)::DOUBLE FROM v_files) AS value UNION ALL
 SELECT 'index.files_hashed', 'counter', (SELECT count(*)::DOUBLE FROM v_files WHERE state = 'verified') UNION ALL
 SELECT 'index.bytes_hashed', 'counter', (SELECT sum(size)::DOUBLE FROM v_files WHERE state = 'verified') UNION ALL
+SELECT 'index.hash_mib_s', 'gauge', (SELECT sum(size)::DOUBLE / 1048576 / 8 FROM v_files WHERE state = 'verified') UNION ALL
+SELECT 'plan.unsatisfiable', 'counter', (SELECT count(DISTINCT (library_id, plan_id))::DOUBLE FROM o_residuals WHERE location_kind = 'volume' AND residual_during < 0) UNION ALL
 SELECT 'plan.ops', 'counter', (SELECT n FROM r) UNION ALL SELECT 'plan.min_residual', 'gauge', (SELECT m FROM r) UNION ALL
 SELECT 'apply.bytes_copied', 'counter', (SELECT sum(stored_offset)::DOUBLE FROM v_op_states WHERE state = 'Committed') UNION ALL
 SELECT 'apply.ops_committed', 'counter', (SELECT count(*)::DOUBLE FROM v_op_states WHERE state = 'Committed') UNION ALL
@@ -345,11 +348,15 @@ def _(t):
     files = t("v_files").withColumn("is_hashed", F.col("state") == "verified")
     space = capacity.with_usable(t("v_locations"), RESERVE).withColumn("drifted", ~F.col("is_online"))
     states = t("v_op_states").withColumnRenamed("stored_offset", "size")
-    return observability.standard_metrics(files, residuals(t), states, space)
+    held = residuals(t)
+    ops = held.groupBy(*PLAN, "seq").agg(F.min("residual_during").alias("residual_during"))
+    short = F.max((F.col("location_kind") == "volume") & (F.col("residual_during") < 0))
+    plans = held.groupBy(*PLAN).agg(F.when(short, "unsatisfiable").otherwise("drafted").alias("status"))
+    return observability.standard_metrics(files, ops, states, space, plans, 8.0)
 
 
 @query("catalog_digest", """
-SELECT location_id, collection, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM o_classified GROUP BY ROLLUP (location_id, collection)
+SELECT library_id, location_id, collection, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM o_classified GROUP BY ROLLUP (library_id, location_id, collection)
 """)
 def _(t):
     return observability.catalog_digest(classified(t))

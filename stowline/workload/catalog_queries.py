@@ -198,9 +198,9 @@ def _(t):
 
 
 @query("provider_summary", """
-SELECT p.library_id, p.provider_id, p.kind, p.label AS account, s.last_scan_id, coalesce(f.n, 0) AS files, p.free_bytes
+SELECT p.library_id, p.provider_id, p.kind, p.label AS account, s.last_scan_id, s.last_index_s, coalesce(f.n, 0) AS files, p.free_bytes
 FROM v_locations p
-LEFT JOIN (SELECT library_id, provider_id, max(id) AS last_scan_id FROM v_scans WHERE status = 'ok' GROUP BY 1, 2) s
+LEFT JOIN (SELECT library_id, provider_id, max(id) AS last_scan_id, CAST(epoch(arg_max(finished_at, id)) AS BIGINT) AS last_index_s FROM v_scans WHERE status = 'ok' GROUP BY 1, 2) s
   ON s.library_id = p.library_id AND s.provider_id = p.provider_id
 LEFT JOIN (SELECT library_id, provider_id, count(*) AS n FROM v_files GROUP BY 1, 2) f
   ON f.library_id = p.library_id AND f.provider_id = p.provider_id
@@ -208,7 +208,8 @@ LEFT JOIN (SELECT library_id, provider_id, count(*) AS n FROM v_files GROUP BY 1
 def _(t):
     loc = t("v_locations")
     providers = loc.select("library_id", F.col("provider_id").alias("id"), "kind", F.col("label").alias("account"))
-    return inventory.provider_summary(providers, t("v_scans"), t("v_files"), loc)
+    return inventory.provider_summary(providers, t("v_scans"), t("v_files"), loc).withColumn(
+        "last_index_s", F.unix_seconds("last_index_at")).drop("last_index_at")
 
 
 # --- identity

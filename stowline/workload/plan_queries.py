@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.units import MIB
 from stowline.operators import capacity
-from stowline.plans import build, checks, placement, sequence, simulate
+from stowline.plans import build, checks, placement, sequence, shortfall, simulate
 from stowline.scale import order_buckets
 from stowline.session import cut_lineage
 from stowline.workload.policy_queries import RESERVE, blobs, classified, goals
@@ -98,9 +100,12 @@ def _(t):
     return sequence.admit_largest(rows, buckets, "whole", "usable").filter("admitted").select("library_id", "dest", "blob_id")
 
 
+CREATED = datetime(2024, 6, 1, tzinfo=timezone.utc)
+
+
 def full_plan(t):
     """Plan over the whole catalog; the classified view is stored once, as a catalog table would be."""
-    return build.build_plan(cut_lineage(classified(t)), t("v_policies"), t("v_members"), t("v_locations"), RESERVE)
+    return build.build_plan(cut_lineage(classified(t)), t("v_policies"), t("v_members"), t("v_locations"), RESERVE, created_at=CREATED)
 
 
 @query("build_plan")
@@ -265,6 +270,92 @@ def _(t):
     return checks.unsat_report(left, capacity.with_usable(t("v_locations"), RESERVE))
 
 
+# Leftovers: every sourced need at forty times its size, held against what the locations have.
+LEFT = f"""l0 AS (SELECT s.library_id, s.blob_id, s.dest, s.dest_kind, s.size * 40 AS size,
+       CASE WHEN s.dest_kind = 'cloud' AND s.src_kind = 'volume' THEN 'upload_keep' WHEN s.dest_kind = 'cloud' THEN 'shuttle' ELSE 'download' END AS op_class FROM o_sourced s),
+b AS (SELECT library_id, location_id, kind, is_online, is_shuttle, is_overlay, free_bytes, greatest(free_bytes - CASE WHEN kind = 'volume' THEN {RESERVE} ELSE 0 END, 0) AS usable FROM v_locations),
+p AS (SELECT library_id, is_shuttle, arg_min(usable, (-free_bytes, location_id)) AS usable FROM b WHERE kind = 'volume' AND is_online AND NOT is_overlay GROUP BY 1, 2),
+h AS (SELECT library_id, max(usable) AS staging_usable FROM p GROUP BY 1),
+left_rows AS (SELECT l0.*, coalesce(b.usable, 0) AS usable, coalesce(h.staging_usable, 0) AS staging_usable,
+       CASE WHEN dest_kind = 'volume' THEN 'volume_full' WHEN op_class = 'shuttle' AND size <= coalesce(b.usable, 0) AND size > coalesce(h.staging_usable, 0) THEN 'staging_full' ELSE 'cloud_full' END AS cause
+  FROM l0 LEFT JOIN b ON b.library_id = l0.library_id AND b.location_id = l0.dest LEFT JOIN h ON h.library_id = l0.library_id)"""
+
+
+def stuck(t):
+    kind = (F.when((F.col("dest_kind") == "cloud") & (F.col("src_kind") == "volume"), "upload_keep")
+            .when(F.col("dest_kind") == "cloud", "shuttle").otherwise("download"))
+    left = sourced(t).withColumn("op_class", kind).withColumn("size", F.col("size") * 40)
+    return left, capacity.with_usable(t("v_locations"), RESERVE)
+
+
+@query("shortfall_steps", f"""
+WITH {LEFT},
+n AS (SELECT *, row_number() OVER (PARTITION BY library_id, dest, cause ORDER BY size, blob_id) AS nth,
+             sum(size) OVER (PARTITION BY library_id, dest, cause ORDER BY size, blob_id) AS run FROM left_rows)
+SELECT library_id, dest, cause, nth, blob_id, size, CAST(greatest(CASE WHEN cause = 'staging_full' THEN size - staging_usable ELSE run - usable END, 0) AS BIGINT) AS extra_bytes FROM n
+""")
+def _(t):
+    return shortfall.shortfall_steps(*stuck(t))
+
+
+@query("shortfall_report", f"""
+WITH {LEFT},
+g AS (SELECT library_id, dest, cause, count(*) AS leftovers, CAST(sum(size) AS BIGINT) AS bytes,
+             greatest(min(size) - max(CASE WHEN cause = 'staging_full' THEN staging_usable ELSE usable END), 0) AS least_for_one,
+             CAST(greatest(CASE WHEN cause = 'staging_full' THEN max(size) - max(staging_usable) ELSE sum(size) - max(usable) END, 0) AS BIGINT) AS least_for_all
+      FROM left_rows GROUP BY library_id, dest, cause),
+d AS (SELECT DISTINCT library_id FROM b WHERE kind = 'volume' AND is_shuttle AND NOT is_online),
+w AS (SELECT DISTINCT library_id FROM v_plan_ops WHERE kind = 'download')
+SELECT library_id, dest, cause, leftovers, bytes, least_for_one, least_for_all, concat_ws('|',
+  CASE WHEN cause = 'volume_full' THEN 'mark_cloud_only' END, CASE WHEN cause <> 'cloud_full' AND least_for_one <= {max(RESERVE - shortfall.RESERVE_FLOOR, 0)} THEN 'lower_reserve' END,
+  CASE WHEN cause <> 'cloud_full' THEN 'free_unreferenced_files' END, CASE WHEN cause = 'cloud_full' THEN 'add_provider_quota' END,
+  CASE WHEN cause = 'staging_full' AND library_id IN (SELECT library_id FROM d) THEN 'plug_in_shuttle_volume' END, CASE WHEN cause = 'staging_full' THEN 'attach_shuttle_volume' END,
+  CASE WHEN cause = 'staging_full' AND library_id IN (SELECT library_id FROM w) THEN 'move_download_after_shuttle' END) AS suggestions
+FROM g
+""")
+def _(t):
+    return shortfall.shortfall_report(*stuck(t), RESERVE, t("v_plan_ops")).withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
+@query("plan_warnings", """
+WITH there AS (SELECT library_id, blob_id, location_id AS dest FROM v_files WHERE hydration <> 'placeholder' AND state IN ('verified', 'suspect')
+               UNION SELECT library_id, blob_id, dest FROM o_sourced WHERE blob_id % 3 <> 0),
+j AS (SELECT g.library_id, g.blob_id, max(g.min_replicas) AS wanted, count(*) FILTER (WHERE t.dest IS NULL AND g.keep_local = 'prefer' AND g.dest_kind = 'volume') AS dropped, count(*) AS goals
+      FROM o_goals g LEFT JOIN there t ON t.library_id = g.library_id AND t.blob_id = g.blob_id AND t.dest = g.dest GROUP BY 1, 2)
+SELECT library_id, blob_id, warning, CAST(wanted AS BIGINT) AS wanted, goals - dropped AS placed, 'prefer_dropped_local' AS reason
+FROM j JOIN (SELECT unnest(['local_preferred_unmet', 'replica_shortfall']) AS warning) w
+  ON dropped > 0 AND (warning = 'local_preferred_unmet' OR wanted > goals - dropped)
+""")
+def _(t):
+    """As if two thirds of the needs had found a place."""
+    sourced(t)
+    moved = sourced(t).filter("blob_id % 3 <> 0").withColumn("kind", F.lit("download"))
+    return build.plan_warnings(t.shared["goals"], t("v_files"), moved)
+
+
+@query("plan_offline", """
+WITH away AS (SELECT DISTINCT library_id, blob_id, location_id FROM v_files WHERE NOT is_online AND hydration <> 'placeholder' AND state IN ('verified', 'suspect')),
+down AS (SELECT * FROM v_locations WHERE kind = 'volume' AND NOT is_online),
+asked AS (
+  SELECT b.library_id, 'dest' AS role, m.location_id, b.blob_id FROM o_blobs b JOIN v_members m ON m.library_id = b.library_id AND m.collection = b.collection AND m.role = 'local'
+  JOIN down d ON d.library_id = m.library_id AND d.location_id = m.location_id AND d.is_final WHERE b.keep_local <> 'cloud_only'
+    AND NOT EXISTS (SELECT 1 FROM away a WHERE a.library_id = b.library_id AND a.blob_id = b.blob_id AND a.location_id = m.location_id)
+  UNION ALL SELECT DISTINCT n.library_id, 'src', a.location_id, n.blob_id FROM o_sourced n JOIN away a ON a.library_id = n.library_id AND a.blob_id = n.blob_id WHERE n.no_source
+  UNION ALL SELECT s.library_id, 'staging', d.location_id, s.blob_id FROM o_sourced s JOIN down d ON d.library_id = s.library_id AND d.is_shuttle WHERE s.dest_kind = 'cloud' AND s.src_kind = 'cloud')
+SELECT a.library_id, a.role, a.location_id, d.label, d.volume_serial, count(*) AS blobs FROM asked a JOIN down d ON d.library_id = a.library_id AND d.location_id = a.location_id
+GROUP BY ALL
+""")
+def _(t):
+    """One more local target is unmounted, and every move between clouds found no room to hop."""
+    hops = sourced(t).filter("dest_kind = 'cloud' AND src_kind = 'cloud'").withColumn("op_class", F.lit("shuttle"))
+    return build.offline_volumes(blobs(t), sourced(t), hops, t("v_files"), t("v_members"), t("v_locations"))
+
+
+@query("stored_plans")
+def _(t):
+    return build.stored_plans(full_plan(t))
+
+
 @query("authorise_delete", """
 WITH r AS (SELECT f.library_id, f.blob_id, f.file_id, f.location_kind, coalesce(f.state = 'verified' AND f.hydration <> 'placeholder' AND f.is_online
              AND (f.location_kind = 'volume' OR CASE WHEN f.blob_id % 3 = 0 THEN 'changed' ELSE 'bound' END = 'bound'), false) AS stands FROM v_files f),

@@ -33,17 +33,21 @@ def _(t):
 
 
 @query("capacity_report", f"""
-SELECT l.kind, l.removable, count(*) AS locations, sum(l.free_bytes)::BIGINT AS free_bytes,
+WITH r AS (SELECT l.library_id, l.kind, l.removable, l.location_id, count(*) AS locations, sum(l.free_bytes * 2)::BIGINT AS used_bytes, sum(l.free_bytes)::BIGINT AS free_bytes,
+       sum(CASE WHEN l.kind = 'cloud' THEN l.free_bytes * 3 END)::BIGINT AS quota_bytes, sum(CASE WHEN l.kind = 'volume' THEN {RESERVE} ELSE 0 END)::BIGINT AS reserve,
        sum(greatest(l.free_bytes - CASE WHEN l.kind = 'volume' THEN {RESERVE} ELSE 0 END, 0))::BIGINT AS usable,
-       sum(coalesce(p.free_after, l.free_bytes))::BIGINT AS projected,
-       printf('%.2f GiB', sum(l.free_bytes)::DOUBLE / 1073741824) AS free_text
+       sum(coalesce(p.free_after, l.free_bytes))::BIGINT AS projected
 FROM v_locations l LEFT JOIN (SELECT library_id, location_id, max(free_bytes) - 1000 AS free_after FROM v_snapshots GROUP BY 1, 2) p
   ON p.library_id = l.library_id AND p.location_id = l.location_id
-GROUP BY ROLLUP (l.kind, l.removable)
+GROUP BY ROLLUP (l.library_id, l.kind, l.removable, l.location_id))
+SELECT *, CASE WHEN free_bytes >= 1073741824 THEN printf('%.2f GiB', free_bytes / 1073741824.0::DOUBLE) WHEN free_bytes >= 1048576 THEN printf('%.2f MiB', free_bytes / 1048576.0::DOUBLE)
+  WHEN free_bytes >= 1024 THEN printf('%.2f KiB', free_bytes / 1024.0::DOUBLE) ELSE concat(free_bytes, ' B') END AS free_text FROM r
 """)
 def _(t):
     after = t("v_snapshots").groupBy("library_id", "location_id").agg((F.max("free_bytes") - 1000).alias("free_after"))
-    return capacity.capacity_report(t("v_locations"), after, RESERVE)
+    measured = t("v_locations").withColumns({
+        "used_bytes": F.col("free_bytes") * 2, "quota_bytes": F.when(F.col("kind") == "cloud", F.col("free_bytes") * 3)})
+    return capacity.capacity_report(measured, after, RESERVE)
 
 
 @query("most_free", """
@@ -266,7 +270,10 @@ SELECT CAST(0 AS BIGINT) AS library_id, c_custkey AS intent_id, CASE WHEN c_cust
   'year', CASE WHEN c_custkey % 4 = 0 THEN 2024 END, 'dedup', CASE WHEN c_custkey % 6 = 0 THEN 'ExtraLocalOnly' END,
   'collections', array(named_struct('name', c_mktsegment, 'mime_prefix', 'image/'), named_struct('name', 'Photos', 'mime_prefix', 'image/')),
   'dests', array(named_struct('kind', CASE WHEN c_custkey % 2 = 0 THEN 'LocalPath' ELSE 'ProviderSubdir' END,
-                              'location', CAST(c_nationkey AS STRING))),
+                              'location', concat(CAST(c_nationkey AS STRING), CASE WHEN c_custkey % 5 = 0 THEN '/In/Deep' ELSE '' END)),
+                 named_struct('kind', 'Elsewhere', 'location', '1')),
+  'priorities', array(named_struct('kind', CASE WHEN c_custkey % 4 = 1 THEN 'FreeVolume' WHEN c_custkey % 4 = 2 THEN 'Guess' ELSE 'UseShuttle' END, 'location', CAST(c_nationkey AS STRING), 'collection', CAST(NULL AS STRING)),
+                      named_struct('kind', 'PreferNewestLocal', 'location', CAST(NULL AS STRING), 'collection', c_mktsegment)),
   'needs_clarification', CASE WHEN c_custkey % 13 = 0 THEN array('which disk?') ELSE array() END)) END AS json
 FROM {customer}
 """
@@ -288,6 +295,28 @@ def _(t):
     return compiled_intents(t)[0]
 
 
+def known_places(t):
+    return t("nation").filter("n_nationkey % 5 <> 0").select(F.lit(0).cast("long").alias("library_id"), F.col("n_nationkey").alias("location_id"))
+
+
+@query("intent_dests", f"""
+SELECT CAST(0 AS BIGINT) AS library_id, c_custkey AS intent_id, 0 AS ord, CASE WHEN c_custkey % 2 = 0 THEN 'local' ELSE 'cloud' END AS role,
+       CAST(c_nationkey AS VARCHAR) AS location_id, CASE WHEN c_custkey % 5 = 0 THEN 'In/Deep' END AS dest_subdir
+FROM customer WHERE {INTENT_REASON} IS NULL
+""")
+def _(t):
+    return policy.intent_dests(t.sql(INTENT_JSON), known_places(t))
+
+
+@query("intent_priorities", f"""
+SELECT CAST(0 AS BIGINT) AS library_id, c_custkey AS intent_id, 0 AS ord, CASE WHEN c_custkey % 4 = 1 THEN 'FreeVolume' ELSE 'UseShuttle' END AS kind,
+       CAST(c_nationkey AS VARCHAR) AS location_id, CAST(NULL AS VARCHAR) AS collection FROM customer WHERE c_custkey % 4 <> 2 AND {INTENT_REASON} IS NULL
+UNION ALL SELECT 0, c_custkey, 1, 'PreferNewestLocal', NULL, c_mktsegment FROM customer WHERE {INTENT_REASON} IS NULL
+""")
+def _(t):
+    return policy.intent_priorities(t.sql(INTENT_JSON), known_places(t))
+
+
 @query("intent_rejects", f"SELECT CAST(0 AS BIGINT) AS library_id, c_custkey AS intent_id, {INTENT_REASON} AS reason FROM customer WHERE {INTENT_REASON} IS NOT NULL")
 def _(t):
     return compiled_intents(t)[1]

@@ -156,3 +156,108 @@ def test_audits_on_null_keys(spark):
     assert [(r["k"], r["rows"]) for r in doctor.duplicate_keys(rows, ["library_id", "k"]).collect()] == [(5, 2)]
     summary = doctor.doctor({"none": ("info", rows.filter("false"))}).first()
     assert (summary["violations"], summary["sample"]) == (0, None)
+
+
+NUMBERED = "library_id long, location_id string, path string, size long, mtime_utc string, ntfs_file_id string, volume_serial string, hydration string"
+
+
+def snap(spark, rows):
+    return spark.createDataFrame([(0, "d", path, size, "t", number, "V", "local_full") for path, size, number in rows], NUMBERED)
+
+
+@pytest.mark.parametrize("per_bucket", [1_000_000, 2])
+def test_hard_links_are_paired_once(spark, per_bucket):
+    old = snap(spark, [("/a", 1, "7"), ("/b", 1, "7"), ("/c", 1, "7"), ("/gone1", 2, "8"), ("/gone2", 2, "8"), ("/same", 3, None), ("/left", 4, "9")])
+    new = snap(spark, [("/a", 1, "7"), ("/b2", 1, "7"), ("/c", 5, "7"), ("/d", 1, "7"), ("/now", 2, "8"), ("/same", 3, None), ("/fresh", 6, None)])
+    rows = [tuple(r) for r in inventory.diff_snapshots(old, new, rows_per_bucket=per_bucket).collect()]
+    by_path = {r[1]: r[2:] for r in rows}
+    assert len(rows) == len(by_path) == 9
+    assert by_path["/a"] == (None, "unchanged", False) and by_path["/c"] == (None, "changed", True) and by_path["/same"] == (None, "unchanged", False)
+    assert sorted((by_path["/b2"][1], by_path["/d"][1])) == ["new", "renamed"] and {by_path["/b2"][0], by_path["/d"][0]} == {"/b", None}
+    assert by_path["/now"][:2] in {("/gone1", "renamed"), ("/gone2", "renamed")}
+    assert by_path["/left"][1] == "missing" and by_path["/fresh"][1] == "new"
+    assert [p for p in ("/gone1", "/gone2") if p in by_path] and inventory.diff_snapshots(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_dirty_files_by_number_or_path(spark):
+    known = snap(spark, [("/a", 1, "7"), ("/b", 1, "7"), ("/p", 2, None), ("/q", 2, None), ("/n", None, "3")]).withColumn(
+        "content_id", F.when(F.col("path") != "/q", F.lit("sha256:x")))
+    files = snap(spark, [("/a", 1, "7"), ("/moved", 1, "7"), ("/p", 2, None), ("/q", 2, None), ("/r", 2, None), ("/b", 9, "7"), ("/n", None, "3")])
+    assert sorted(r.path for r in identity.dirty_files(files, known).collect()) == ["/b", "/q", "/r"]
+
+
+MERGE_ROW = "library_id long, file_id long, origin long, digest string, blob_id long, state string, conflict boolean"
+
+
+def merge_in_runs(spark, origins, runs):
+    """Group of files per content after each listed run; files of a later run appear with it."""
+    replicas, blobs = spark.createDataFrame([], MERGE_ROW), spark.createDataFrame([], "library_id long, content_id string, blob_id long")
+    seen = set()
+    for files, digests in runs:
+        fresh = [(0, f, origins[f], None, None, "suspect", False) for f in files if f not in seen]
+        seen |= set(files)
+        replicas = replicas.unionByName(spark.createDataFrame(fresh, MERGE_ROW))
+        hashed = spark.createDataFrame([(0, f, c) for f, c in digests.items()], "library_id long, file_id long, content_id string")
+        replicas, blobs = identity.merge_run(replicas, hashed, blobs)
+    return {r.file_id: (r.blob_id, r.state, r.conflict) for r in replicas.collect()}, {(r.content_id, r.blob_id) for r in blobs.collect()}
+
+
+def test_runs_of_digests_merge_to_the_same_groups(spark):
+    origins = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 4}
+    digests = {1: "A", 3: "A", 4: "B", 5: "C", 6: "D", 8: "B"}
+    every = list(origins)
+    one, named = merge_in_runs(spark, origins, [(every, digests)])
+    assert one == {1: (1, "verified", False), 2: (1, "suspect", False), 3: (1, "verified", False), 4: (4, "verified", False), 9: (4, "suspect", False),
+                   8: (4, "verified", False), 5: (5, "verified", True), 6: (6, "verified", True), 7: (7, "suspect", True)}
+    assert named == {("A", 1), ("B", 4), ("C", 5), ("D", 6)}
+    splits = [[([1, 2, 3, 4], {1: "A", 3: "A"}), (every, {4: "B", 5: "C", 6: "D", 8: "B"})],
+              [(every, {1: "A", 4: "B", 5: "C"}), (every, {6: "D"}), (every, {3: "A", 8: "B"}), (every, {})]]
+    for runs in splits:
+        got, ids = merge_in_runs(spark, origins, runs)
+        assert got == one and ids == named
+    # A content that is known keeps its blob, also when an older origin turns up for it later.
+    later, ids = merge_in_runs(spark, origins, [(every, {3: "A"}), (every, {1: "A"})])
+    assert ids == {("A", 3)} and later[1] == (3, "verified", False) and later[2] == (3, "suspect", False)
+
+
+def test_promote_verified_ignores_old_ids(spark):
+    replicas = spark.createDataFrame([(0, 1, 1, "suspect", "old")], "library_id long, file_id long, blob_id long, state string, content_id string")
+    hashed = spark.createDataFrame([(0, 1, "new")], "library_id long, file_id long, content_id string")
+    assert [(r.content_id, r.state) for r in identity.promote_verified(replicas, hashed).collect()] == [("new", "verified")]
+
+
+def test_paths_inside_texts(spark):
+    paths = ["/Videos/Captures/clip-1.mp4", "/Videos/Captures/clip-10.mp4", "/Videos/Captures/clip-1", "D:\\Data\\x.bin", "/a", "plain.txt", "/Thumbs.db",
+             "/very/long/shared/folder/name/that/goes/on/and/on/and/on/and/on/file-000001.txt", "/very/long/shared/folder/name/that/goes/on/and/on/and/on/and/on/file-000002.txt"]
+    files = spark.createDataFrame([(p,) for p in [*paths, "", paths[0]]], "path string")
+    texts = ["moved /Videos/Captures/clip-10.mp4, done", "x/Videos/Captures/clip-1.mp4x", "see D:\\Data\\x.bin and /a/b", "plain.txt", "a plain.txt", "////a//",
+             f"both {paths[7]} {paths[8]}", None, "", "/Videos/Captures/other.mp4", "/Thumbs.d"]
+    rows = [(i, "INFO", t, {"f": (t or "")[::-1], "g": t}) for i, t in enumerate(texts)] + [(99, "debug", paths[0], {"f": paths[0]})]
+    logs = spark.createDataFrame(rows, "log_id long, level string, msg string, fields map<string,string>")
+    got = {(r.log_id, r.field, r.path) for r in observability.path_leak_audit(logs, files).collect()}
+    anchored = {p for p in paths if p not in ("/a", "plain.txt")}
+    want = set()
+    for i, _, msg, fields in rows[:-1]:
+        for name, value in [("msg", msg), *fields.items()]:
+            want |= {(i, name, p) for p in paths if value is not None and (p in value if p in anchored else p == value)}
+    assert got == want and (3, "msg", "plain.txt") in got and (0, "msg", "/Videos/Captures/clip-1") in got
+    assert observability.path_leak_audit(logs, files.limit(0)).count() == 0
+
+
+def test_shared_prefixes_are_no_anchor(spark):
+    paths = spark.createDataFrame([(f"/common/folder/of/all/files/n{i:04d}.dat",) for i in range(300)], "path string")
+    grams = [r.gram for r in observability.path_anchors(paths).collect()]
+    assert len(grams) == 300 and max(grams.count(g) for g in set(grams)) <= 10
+
+
+def test_a_tie_of_change_numbers(spark):
+    base = spark.createDataFrame([(0, "d", "k", 1)], "library_id long, location_id string, item_key string, size long")
+    changes = spark.createDataFrame([(0, "d", "k", 5, 3, False), (0, "d", "k", None, 3, True)], "library_id long, location_id string, item_key string, size long, change_no long, is_deleted boolean")
+    assert inventory.apply_delta(base, changes).count() == 0
+
+
+def test_ops_of_two_libraries_are_apart(spark):
+    rows = [(0, 1, 1, "p", "ReservedSpace", "2024-01-01"), (1, 1, 2, "p", "Committed", "2024-01-02"), (0, 1, 3, "p", "Transferring", "2024-01-03")]
+    frame = spark.createDataFrame(rows, "library_id long, op_id long, event_id long, plan_id string, state string, updated_at string").withColumn("updated_at", F.to_timestamp("updated_at"))
+    assert {(r.library_id, r.state) for r in journal.latest_state(frame).collect()} == {(0, "Transferring"), (1, "Committed")}
+    assert [(r.library_id, r.to_state) for r in journal.transition_audit(frame).collect()] == [(1, "Committed")]

@@ -1,5 +1,8 @@
 """Golden plan and fixed scenarios, planned in one job."""
 
+import json
+from datetime import timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +10,9 @@ from stowline.operators.capacity import with_usable
 from stowline.operators.journal import reverse_plan, space_drift, undo_refusals
 from stowline.operators.policy import prefer_fallback
 from stowline.plans import checks
-from stowline.plans.build import build_plan, stored_ops
+from stowline.plans.build import build_plan, plan_name, plan_shortfall, stored_ops, stored_plans
 from stowline.plans.placement import too_large
+from stowline.plans.shortfall import shortfall_steps
 from stowline.plans.simulate import plan_show
 from tests.worlds import GIB, Worlds, gib, golden
 
@@ -147,7 +151,10 @@ def test_conflict_needs_a_person(ops, status):
 
 def test_placeholder_offline_and_unknown_size(plan, ops, status):
     assert 10 not in ops and status[10]["status"] == "unsatisfiable"
-    assert {r["reason"] for r in plan.problems.filter("library_id = 10").collect()} == {"no_source"}
+    # The blob that is nowhere but in a placeholder is no part of the plan; the unplugged disk is named.
+    assert {r["reason"] for r in plan.problems.filter("library_id = 10").collect()} == {"volume_offline"}
+    assert [(r["role"], r["location_id"], r["blobs"]) for r in plan.offline.filter("library_id = 10").collect()] == [("src", "ext", 1)]
+    assert plan.goals.filter("library_id = 10 AND blob_id = 1").isEmpty()
 
 
 def test_two_evicts_never_count_on_each_other(ops):
@@ -222,3 +229,92 @@ def test_undo_refuses_to_breach_the_reserve(plan, world, spark):
     final = world[0].filter("library_id = 0")
     reasons = {r["reason"] for r in undo_refusals(back, final, after, gib(5.0)).collect()}
     assert "reserve_breach" in reasons
+
+
+def test_offline_targets_and_staging_are_named(plan):
+    found = {(r["library_id"], r["role"], r["location_id"]) for r in plan.offline.collect()}
+    assert found == {(4, "staging", "ext"), (10, "src", "ext")}
+
+
+def test_warnings_and_plan_rows(plan, status):
+    warned = {(r["library_id"], r["blob_id"], r["warning"], r["wanted"], r["placed"], r["reason"]) for r in plan.warnings.collect()}
+    assert {w for w in warned if w[0] == 8} == {(8, 1, "local_preferred_unmet", 2, 1, "prefer_dropped_local"), (8, 1, "replica_shortfall", 2, 1, "prefer_dropped_local")}
+    assert not [w for w in warned if w[0] in (1, 2, 3)]
+    rows = {r["library_id"]: r for r in stored_plans(plan).collect()}
+    assert set(rows) == set(status) and rows[0]["status"] == "drafted" and rows[0]["staging_reserve"] == GIB
+    summary = json.loads(rows[0]["summary"])
+    assert summary["ops"] == 7 and summary["moved_bytes"] == rows_of(plan, 0) and rows[0]["min_residual"] == status[0]["min_residual"]
+    assert json.loads(rows[10]["summary"])["problems"] == {"volume_offline": 1}
+
+
+def rows_of(plan, lib):
+    return plan.ops.filter((F.col("library_id") == lib) & (F.col("kind") != "evict")).agg(F.sum("size")).first()[0]
+
+
+def test_two_plans_of_a_library_are_apart(plan, world):
+    later = plan_name(plan.created_at + timedelta(microseconds=1))
+    again = plan_name(plan.created_at.astimezone(timezone(timedelta(hours=5))))
+    row = plan.ops.filter("library_id = 0").select("plan_id", later.alias("later"), again.alias("again")).first()
+    assert row["plan_id"] == row["again"] != row["later"] and len(row["plan_id"]) == len("file-plan-") + 8
+
+
+def test_shortfalls(plan):
+    got = {(r["library_id"], r["dest"]): r for r in plan_shortfall(plan).collect()}
+    six = got[6, "local-d"]
+    assert (six["cause"], six["least_for_one"], six["least_for_all"]) == ("volume_full", gib(87.0), gib(87.0)) and "lower_reserve" not in six["suggestions"]
+    seven = got[7, "ext"]
+    assert seven["least_for_one"] == gib(0.5) and seven["suggestions"][:2] == ["mark_cloud_only", "lower_reserve"]
+    four = got[4, "onedrive"]
+    assert (four["cause"], four["least_for_one"]) == ("staging_full", gib(5.0)) and "plug_in_shuttle_volume" in four["suggestions"]
+    steps = shortfall_steps(plan.leftover.filter("library_id = 6"), plan.balance, rows_per_bucket=1).collect()
+    assert [(r["nth"], r["extra_bytes"]) for r in steps] == [(1, gib(87.0))]
+
+
+def test_running_shortfall_in_buckets(spark):
+    left = spark.createDataFrame([(0, b, "d", "volume", s, "download") for b, s in ((1, 50), (2, 10), (3, 30), (4, 10))],
+                                 "library_id long, blob_id long, dest string, dest_kind string, size long, op_class string")
+    balance = spark.createDataFrame([(0, "d", "volume", 25, 25, True, False, False)],
+                                    "library_id long, location_id string, kind string, free_bytes long, usable long, is_online boolean, is_shuttle boolean, is_overlay boolean")
+    for per_bucket in (1_000_000, 1):
+        rows = sorted(tuple(r) for r in shortfall_steps(left, balance, per_bucket).select("nth", "blob_id", "extra_bytes").collect())
+        assert rows == [(1, 2, 0), (2, 4, 0), (3, 3, 25), (4, 1, 75)]
+
+
+def test_a_collision_stops_its_library_only(spark, world):
+    replicas = world[0].filter("library_id IN (1, 2)").withColumn("kind", F.lit("byte"))
+    twice = replicas.filter("library_id = 2").limit(1).withColumns({"blob_id": F.lit(99).cast("long"), "file_id": F.lit(999).cast("long"), "size": F.lit(7).cast("long"), "path": F.lit("/other.mp4")})
+    odd = replicas.filter("library_id = 1").limit(1).withColumns({"blob_id": F.lit(98).cast("long"), "file_id": F.lit(998).cast("long"), "kind": F.lit("directory")})
+    mixed = replicas.unionByName(twice).unionByName(odd).withColumn("content_id", F.when(F.col("library_id") == 2, "sha256:same").otherwise(F.concat(F.lit("sha256:"), "blob_id")))
+    plan = build_plan(mixed, *world[1:], reserve=GIB)
+    status = {r["library_id"]: r["status"] for r in plan.summary.collect()}
+    assert status == {1: "drafted", 2: "unsatisfiable"} and plan.ops.filter("library_id = 2").isEmpty()
+    assert {r["reason"] for r in plan.problems.collect()} == {"content_id_collision"} and plan.needs.filter("blob_id = 98").isEmpty()
+
+
+def test_hints_order_what_the_rules_allow(spark, world):
+    w = Worlds()
+    for lib in (0, 1):
+        for name in ("local-d", "local-e", "local-f"):
+            w.place(lib, name, 4.0, shuttle=name == "local-d")
+        w.place(lib, "gdrive", 50.0)
+        w.place(lib, "onedrive", 50.0)
+        w.policy(lib, "Archives", "cloud_only", 1, "specific", ["gdrive"])
+        w.policy(lib, "move", "cloud_only", 2, "specific", ["gdrive"], order=1)
+        w.policy(lib, "hop", "cloud_only", 1, "specific", ["onedrive"], order=2)
+        for loc in ("local-d", "local-e", "gdrive"):
+            w.file(lib, 1, 2.0, loc, "/x.mp4", collection="move")
+            w.file(lib, 2, 1.0, loc, "/y.mp4", collection="Archives")
+        w.file(lib, 3, 1.0, "gdrive", "/z.mp4", collection="hop")
+    rows = [(0, 7, 0, "FreeVolume", "local-e", None), (0, 7, 1, "EvictUnpinnedArchivesFirst", None, None), (0, 7, 2, "UseShuttle", "local-f", None)]
+    asked = spark.createDataFrame(rows, "library_id long, intent_id long, ord int, kind string, location_id string, collection string")
+    for per_bucket in (1_000_000, 1):
+        plan = build_plan(*w.frames(spark), reserve=GIB, rows_per_bucket=per_bucket, priorities=asked)
+        ops = {}
+        for r in plan.ops.orderBy("library_id", "seq").collect():
+            ops.setdefault(r["library_id"], []).append(r)
+        gone = {lib: [(r["blob_id"], r["src"]) for r in some if r["kind"] == "evict"] for lib, some in ops.items()}
+        # The named volume is freed first, and archives come first on each; without hints the largest go first.
+        assert gone[0] == [(2, "local-e"), (1, "local-e"), (2, "local-d"), (1, "local-d")]
+        assert gone[1] == [(1, "local-d"), (1, "local-e"), (2, "local-d"), (2, "local-e")]
+        hops = {lib: [r["staging"] for r in some if r["kind"] == "shuttle"] for lib, some in ops.items()}
+        assert hops == {0: ["local-f"], 1: ["local-d"]}

@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowline.plans import checks
+from stowline.operators.policy import collapse_to_blob, desired_placement, goal_locations
 from stowline.plans.build import build_plan
-from stowline.plans.sequence import admit_largest
+from stowline.plans.placement import can_evict, choose_source, classify_ops, need_place
+from stowline.plans.sequence import admit_largest, sequence
 from stowline.scale import order_buckets
+from tests.plain_plan import plain_sequence
 from tests.worlds import GIB, Worlds
 
 ROWS = "library_id long, blob_id long, dest string, size long, ok boolean, room long"
@@ -96,3 +99,27 @@ def test_random_plans_are_safe(spark, seed, rows_per_bucket):
     evicted = plan.ops.filter("kind = 'evict'").select("library_id", "file_id", F.col("seq").alias("gone_at"))
     assert plan.ops.filter("kind <> 'evict'").join(evicted, ["library_id", "file_id"]).filter("seq > gone_at").collect() == []
     assert evicted.groupBy("library_id", "file_id").count().filter("count > 1").collect() == []
+
+
+@pytest.mark.parametrize("seed,rows_per_bucket", [(21, 1_000_000), (22, 5)])
+def test_sequence_equals_one_operation_at_a_time(spark, seed, rows_per_bucket):
+    replicas, policies, members, locations = random_worlds(seed, 40).frames(spark)
+    blobs = collapse_to_blob(desired_placement(replicas.select("library_id", "blob_id", "size", "collection"), policies))
+    goals = goal_locations(blobs, replicas, policies, members, locations)
+    needs = choose_source(need_place(goals, replicas), replicas)
+    evicts = can_evict(goals, replicas, needs, blobs)
+    classed = classify_ops(needs, evicts)
+    done = sequence(classed, evicts, replicas, locations, GIB // 2, rows_per_bucket)
+    rows = [[r.asDict() for r in df.collect()] for df in (classed, evicts, replicas, locations)]
+    want = plain_sequence(*rows, GIB // 2)
+    got = {}
+    for r in done.ops.orderBy("library_id", "seq").collect():
+        got.setdefault(r["library_id"], []).append((r["kind"], r["blob_id"], r["file_id"], r["src"], r["dest"], r["staging"]))
+    assert got == want and sum(map(len, want.values())) > 40
+    left = {(r["library_id"], r["location_id"]): r["free_bytes"] for r in done.balance.collect()}
+    start = {(r["library_id"], r["location_id"]): r["free_bytes"] for r in rows[3]}
+    size = {(r["library_id"], r["blob_id"]): r["size"] for r in rows[2]}
+    for lib, ops in want.items():
+        for kind, blob, _, src, dest, _ in ops:
+            start[lib, src if kind == "evict" else dest] += size[lib, blob] if kind == "evict" else -size[lib, blob]
+    assert left == start
