@@ -136,11 +136,11 @@ def _(t):
 # --- access and paths
 
 @query("ancestors", """
-SELECT CAST(0 AS BIGINT) AS library_id, ref, parent_ref AS ancestor, CAST(1 AS BIGINT) AS distance FROM v_folders WHERE parent_ref IS NOT NULL
-UNION ALL SELECT CAST(0 AS BIGINT), c.ref, n.parent_ref, CAST(2 AS BIGINT) FROM v_folders c JOIN v_folders n ON n.ref = c.parent_ref WHERE n.parent_ref IS NOT NULL
+SELECT CAST(0 AS BIGINT) AS library_id, ref, parent_ref AS ancestor, CAST(1 AS BIGINT) AS distance FROM v_folder_tree WHERE parent_ref IS NOT NULL
+UNION ALL SELECT CAST(0 AS BIGINT), c.ref, n.parent_ref, CAST(2 AS BIGINT) FROM v_folder_tree c JOIN v_folder_tree n ON n.ref = c.parent_ref WHERE n.parent_ref IS NOT NULL
 """)
 def _(t):
-    return acl.ancestors(t("v_folders")).withColumn("distance", F.col("distance").cast("long"))
+    return acl.ancestors(t("v_folder_tree")).withColumn("distance", F.col("distance").cast("long"))
 
 
 PUBLIC = "('Anyone', 'AnyoneWithLink', 'anonymous')"

@@ -208,6 +208,12 @@ SELECT o_orderkey AS op_id, o_totalprice > 100000 AS dest_exists, o_totalprice >
 FROM {orders} WHERE o_orderpriority <> '1-URGENT'
 """
 
+# Every region, nation and customer as a folder; the access queries read v_folders, which leaves some of them out.
+VIEWS["v_folder_tree"] = """
+SELECT CAST(0 AS BIGINT) AS library_id, concat('r', CAST(r_regionkey AS VARCHAR(20))) AS ref, CAST(NULL AS VARCHAR(20)) AS parent_ref FROM {region}
+UNION ALL SELECT CAST(0 AS BIGINT), concat('n', CAST(n_nationkey AS VARCHAR(20))), concat('r', CAST(n_regionkey AS VARCHAR(20))) FROM {nation}
+UNION ALL SELECT CAST(0 AS BIGINT), concat('c', CAST(c_custkey AS VARCHAR(20))), concat('n', CAST(c_nationkey AS VARCHAR(20))) FROM {customer}
+"""
 # One region, some customers and their parents are not listed; some grants cannot be read.
 VIEWS["v_folders"] = """
 SELECT CAST(0 AS BIGINT) AS library_id, concat('r', CAST(r_regionkey AS VARCHAR(20))) AS ref, CAST(NULL AS VARCHAR(20)) AS parent_ref,

@@ -9,6 +9,8 @@ from stowline.functions.content import UnsupportedDigest
 from stowline.operators import acl, capacity, doctor, dups, identity, inventory, journal, observability
 from stowline.plans import checks
 from stowline.sources import catalog, files, listings, logs
+from stowline.workload import load_all
+from stowline.workload.registry import QUERIES, Tables
 
 FOLDER = "library_id long, ref string, parent_ref string"
 ACL = "library_id long, ref string, principal string"
@@ -261,3 +263,13 @@ def test_ops_of_two_libraries_are_apart(spark):
     frame = spark.createDataFrame(rows, "library_id long, op_id long, event_id long, plan_id string, state string, updated_at string").withColumn("updated_at", F.to_timestamp("updated_at"))
     assert {(r.library_id, r.state) for r in journal.latest_state(frame).collect()} == {(0, "Transferring"), (1, "Committed")}
     assert [(r.library_id, r.to_state) for r in journal.transition_audit(frame).collect()] == [(1, "Committed")]
+
+
+def test_ancestors_takes_every_folder(spark, tmp_path):
+    rows = {"region": ([(3, "x")], "r_regionkey long, r_name string"), "nation": ([(1, 3), (2, 9)], "n_nationkey long, n_regionkey long"),
+            "customer": ([(7, 1, "m"), (20, 2, "m"), (21, 5, "m")], "c_custkey long, c_nationkey long, c_mktsegment string")}
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    load_all()
+    got = {(r["ref"], r["ancestor"], r["distance"]) for r in QUERIES["ancestors"](Tables(spark, str(tmp_path))).collect()}
+    assert got == {("n1", "r3", 1), ("n2", "r9", 1), ("c7", "n1", 1), ("c20", "n2", 1), ("c21", "n5", 1), ("c7", "r3", 2), ("c20", "r9", 2)}
