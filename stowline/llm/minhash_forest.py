@@ -5,11 +5,14 @@ labels share at least ``SHALLOW`` leading values form a region, and the depth th
 region of up to ``SMALL`` sets gives all its pairs, a larger one is split by one value more, down to the whole label,
 where neighbours in sorted order and the first set of the run are the partners. In a large region every set is
 also compared with its hub, the set that lies most often in the commonest run over all trees, as the source of many
-edited copies does. Every candidate is confirmed on full sets.
+edited copies does. What this finds links most sets. The rest is exact: in a region of more than ``SMALL`` sets that
+still holds several components, every set is held against every set of another one, by size and by all its MinHash values, in
+tiles dealt over the tasks; see :func:`across`. Every candidate is confirmed on full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ TREES, DEPTH, SHALLOW = 16, 8, 4
 SMALL, NEAR = 16, 3
 DEEP_ROWS = 20_000
 WIDTH = 4 * DEPTH
+TILE_LEFT, TILE_RIGHT = 1024, 65_536
 
 
 def signature(shingles: np.ndarray, slopes: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -154,6 +158,80 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars.unionByName(firsts).distinct(), pairs
 
 
+def fewest_equal(percent: int) -> int:
+    """Equal MinHash values below which sets can't be linked: five standard deviations under what linked ones expect."""
+    n, p = TREES * DEPTH, percent / 100
+    return max(0, math.floor(n * p - 5 * math.sqrt(n * p * (1 - p))))
+
+
+def across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a region of more than ``SMALL`` sets and may be linked.
+
+    All of them, whatever the size of the region: its largest component is met by the sets of the others, which meet each other
+    too. Both sides are cut into tiles by hash, of about ``TILE_LEFT`` and ``TILE_RIGHT`` sets, so no task holds a region.
+    """
+    named = sets.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    named = cut_lineage(named.select("d", "n", "sig", "root"))
+    rows = named.select("d", "root", F.posexplode(F.array(*[
+        F.expr(f"substring(sig, {tree * WIDTH + 1}, {4 * SHALLOW})") for tree in range(TREES)])).alias("tree", "part"))
+    crowded = rows.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where(
+        f"m > {SMALL} AND low <> high").select("tree", "part", "m")
+    inside = cut_lineage(checked_join(rows, cut_lineage(crowded), ["tree", "part"], "inner"))
+    largest = inside.groupBy("tree", "part", "m", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("tree", "part", "m").agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"))
+    shape = cut_lineage(largest.select("tree", "part", "main", F.ceil((F.col("m") - F.col("k")) / TILE_LEFT).cast("int").alias("lefts"),
+                                       F.ceil(F.col("m") / TILE_RIGHT).cast("int").alias("rights")))
+    placed = checked_join(inside.select("tree", "part", "d", "root"), shape, ["tree", "part"], "inner")
+    left, right = F.pmod(F.xxhash64("d"), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("d", F.lit(1)), F.col("rights")).cast("int")
+    probes = placed.where("root <> main").select(
+        "tree", "part", left.alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.lit(0).alias("side"), "d")
+    others = placed.select(
+        "tree", "part", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), right.alias("j"), F.lit(1).alias("side"), "d")
+    tile = ["tree", "part", "i", "j"]
+    dealt = probes.unionByName(others).distinct().join(named, "d").repartition(*tile).sortWithinPartitions(*tile, "side")
+    least = fewest_equal(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in tile)))
+            sides = batch.column("side").to_pylist()
+            start = 0
+            for end in range(1, len(keys) + 1):
+                if end < len(keys) and keys[end] == keys[start] and sides[end] == sides[start]:
+                    continue
+                some = batch.slice(start, end - start)
+                part = tuple(some.column(c).to_numpy(zero_copy_only=False) for c in ("d", "n", "root"))
+                part = (np.frombuffer(b"".join(some.column("sig").to_pylist()), ">u4").reshape(-1, TREES * DEPTH), *part)
+                if keys[start] != now:
+                    now, held = keys[start], []
+                if sides[start] == 0:
+                    held.append(part)
+                else:
+                    for probe in held:
+                        found = _tile(probe, part, least, percent)
+                        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+                start = end
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _tile(left: tuple, right: tuple, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smaller, larger) ids of the pairs of two tiles that are of different components, close in size and in MinHash values."""
+    low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(left[0]), 64):
+        sig, d, n, root = (x[i:i + 64] for x in left)
+        for j in range(0, len(right[0]), 256):
+            sig2, d2, n2, root2 = (x[j:j + 256] for x in right)
+            may = (root[:, None] != root2) & (np.minimum(n[:, None], n2) * 100 >= percent * np.maximum(n[:, None], n2))
+            if may.any():
+                may &= (sig[:, None, :] == sig2).sum(axis=2) >= least
+                x, y = np.nonzero(may)
+                low.append(np.minimum(d[x], d2[y]))
+                high.append(np.maximum(d[x], d2[y]))
+    return np.concatenate(low), np.concatenate(high)
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of rows of (d, t) whose sets reach ``percent``: intersection against union, on whole texts."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
@@ -199,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     rows = cut_lineage(signed(docs, size, doc_id, text))
     known = rows.where("key IS NOT NULL AND d IS NOT NULL")
     classes = cut_lineage(known.groupBy("key").agg(F.min("d").alias("rep")))
-    sets = cut_lineage(known.join(classes.withColumnRenamed("rep", "d"), ["key", "d"]).select("d", "sig").dropDuplicates())
+    sets = cut_lineage(known.join(classes.withColumnRenamed("rep", "d"), ["key", "d"]).select("d", "n", "sig").dropDuplicates())
     first, rest = candidates(sets)
     texts = own.where("d IS NOT NULL")
     strong = cut_lineage(confirmed(texts, cut_lineage(first), size, percent))
@@ -210,7 +288,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         .join(first, ["a", "b"], "left_anti")
     )
-    more = confirmed(texts, cut_lineage(open_pairs), size, percent)
+    strong = cut_lineage(strong.unionByName(confirmed(texts, cut_lineage(open_pairs), size, percent)))
+    more = confirmed(texts, cut_lineage(across(sets, components(strong), percent)), size, percent)
     copies = known.join(classes, "key").where("d <> rep").select(F.col("rep").alias("a"), F.col("d").alias("b"))
     root = components(strong.unionByName(more).unionByName(copies))
     joined = rows.select("d", "n").join(root.withColumnRenamed("node", "d"), "d", "left")

@@ -40,3 +40,20 @@ def test_edges(spark):
     twice = rows_of(near_duplicates(docs_frame(spark, [(1, "a b c d"), (1, "e f g h"), (2, "E F G H"), (3, "a b c d"), (None, "a b c d")]), size=4))
     assert twice == {(1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 1, None, True)}
     assert near_duplicates(docs_frame(spark, []), size=4).count() == 0
+
+
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    """Even where neighbours and hubs link nothing, the sets of a crowded region meet each other."""
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(minhash_forest, "candidates", lambda sets: (none, none))
+    monkeypatch.setattr(minhash_forest, "TILE_LEFT", 16)
+    monkeypatch.setattr(minhash_forest, "TILE_RIGHT", 32)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(i % 4):
+            copy[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    assert rows_of(near_duplicates(docs_frame(spark, rows), size=4)) == brute.near_duplicates(rows, 4)
