@@ -88,17 +88,20 @@ def diff_snapshots(prev: DataFrame, curr: DataFrame, rows_per_bucket: int = ROWS
     link that stays is never taken for a renamed one, and n old and m new paths give max(n, m) rows. A number that a broken
     volume gives to all its files is ranked in buckets. ``prev`` and ``curr`` hold one row per path of a volume.
     """
-    fields = ["path", "size", "mtime_utc"]
     place = ["library_id", "_space", "_item"]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select("library_id", *stable_key(), F.col("path").alias("_path"), F.struct(*fields).alias(tag))
+        return df.select("library_id", *stable_key(), F.col("path").alias("_path"), F.struct("size", "mtime_utc").alias(tag))
 
     met = side(prev, "old").join(side(curr, "new"), [*place, "_path"], "full")
-    kept = met.filter(F.col("old").isNotNull() & F.col("new").isNotNull()).select("library_id", "old", "new")
-    left = met.filter(F.col("old").isNull() | F.col("new").isNull()).select(
+    # Met once and stored: what is kept needs no file number any more.
+    single = F.col("old").isNull() | F.col("new").isNull()
+    met = cut_lineage(met.select("library_id", *[F.when(single, F.col(c)).alias(c) for c in place[1:]], "_path", "old", "new", single.alias("_single")), "_single")
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.col("_path").alias("path"), f"{c}.size", f"{c}.mtime_utc")).alias(c) for c in ("old", "new")]
+    kept = met.filter("NOT _single").select("library_id", *sides)
+    left = met.filter("_single").select(
         *place, F.col("old").isNull().alias("_side"), F.md5(F.col("_path").cast("binary")).alias("_by"),
-        F.conv(F.substring(F.md5(F.col("_path").cast("binary")), 1, 12), 16, 10).cast("long").alias("_lead"), "_path", "old", "new")
+        F.conv(F.substring(F.md5(F.col("_path").cast("binary")), 1, 12), 16, 10).cast("long").alias("_lead"), "_path", *sides)
     left = cut_lineage(left)
     group = [*place, "_side"]
     left, buckets = order_buckets(left, group, "_lead", rows_per_bucket=rows_per_bucket)
