@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions.redaction import redact_map, redact_value
 from stowline.functions.units import MIB
-from stowline.scale import lookup_join, skew_join
+from stowline.scale import BROADCAST_ROWS, ROWS_PER_BUCKET, lookup_join, skew_join
 from stowline.session import cut_lineage
 
 DAYS_KEPT = 7
@@ -114,7 +114,7 @@ GRAM_LEVELS = (4, 8, 16, 32, 64, 128)
 
 
 def _edge_grams(texts: DataFrame, text: str, sizes: Column) -> DataFrame:
-    """``texts`` without the text, one row per ``gram``: a substring of one of the given sizes that begins at a separator."""
+    """``texts`` without the text, one row per row and ``gram``: a substring of one of the given sizes that begins at a separator."""
     # The parts are a column of their own: inside the lambda below they would be split anew for each of them.
     parts = F.filter(F.split(text, r"(?=[/\\])"), lambda x: x.rlike(r"^[/\\]"))
     cut = texts.withColumn("_parts", parts).withColumn("_sizes", sizes).filter((F.size("_parts") > 0) & (F.size("_sizes") > 0)).drop(text)
@@ -125,7 +125,7 @@ def _edge_grams(texts: DataFrame, text: str, sizes: Column) -> DataFrame:
         return F.filter(F.transform("_sizes", lambda n: F.when(F.length(ahead) >= n, F.substring(ahead, F.lit(1), n))), lambda g: g.isNotNull())
 
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_parts")), from_part))
-    return cut.select(*[c for c in texts.columns if c != text], F.explode(grams).alias("gram")).distinct()
+    return cut.select(*[c for c in texts.columns if c != text], F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def path_anchors(paths: DataFrame) -> DataFrame:
@@ -139,18 +139,26 @@ def path_anchors(paths: DataFrame) -> DataFrame:
     sizes = F.array_distinct(F.concat(F.array(*[F.lit(n) for n in GRAM_LEVELS]), tails))
     once = paths.select("path").distinct().withColumn("_text", F.col("path"))
     grams = cut_lineage(_edge_grams(once, "_text", sizes))
-    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    counted = skew_join(grams, spread, ["gram"], "inner")
+    spread = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")))
+    hot = spread.filter(F.col("_n") > ROWS_PER_BUCKET).select("gram").limit(BROADCAST_ROWS)
+    counted = skew_join(grams, spread, ["gram"], "inner", None if hot.isEmpty() else hot, None)
     return counted.groupBy("path").agg(F.min_by("gram", F.struct("_n", F.length("gram"), "gram")).alias("gram"))
 
 
+def _meet(big: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of two stored tables: ``few`` by broadcast while it is small; else a plain one, whose hot keys adaptive
+    execution splits, as no aggregate stands before it."""
+    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(few) if small else few, on)
+
+
 def path_leak_audit(logs: DataFrame, files: DataFrame) -> DataFrame:
     """(log_id, level, field, path): catalogued paths that stand anywhere in the message or a field value of log rows above
     debug level, one row for each; ``log_id`` is unique, the message is the field ``msg``.
 
     Each path has one anchor (see :func:`path_anchors`); the substrings of the texts that begin at separators meet the anchors
     by equality, and what meets is held against the whole path. A path without an anchor counts only as a whole value.
-    A text is never compared with all paths, and only ids and substrings are shuffled, not the texts.
+    A text is never compared with all paths; ids and hashes of substrings are shuffled, and the texts once at most.
     """
     loud = logs.filter(~F.upper(F.coalesce("level", F.lit("INFO"))).isin(*PATH_LEVELS))
     told = []
@@ -159,17 +167,19 @@ def path_leak_audit(logs: DataFrame, files: DataFrame) -> DataFrame:
     if "msg" in logs.columns:
         told.append(F.array(F.struct(F.lit("msg").alias("key"), F.col("msg").alias("value"))))
     each = F.concat(*told)
-    values = loud.select("log_id", "level", F.explode(each).alias("v")).select(
-        "log_id", "level", F.col("v.key").alias("field"), F.col("v.value").alias("value")).filter(F.col("value").isNotNull())
+    values = cut_lineage(loud.select("log_id", "level", F.explode(each).alias("v")).select(
+        "log_id", "level", F.col("v.key").alias("field"), F.col("v.value").alias("value")).filter(F.col("value").isNotNull()))
     known = cut_lineage(files.filter(F.col("path") != "").select("path").distinct())
     anchors = cut_lineage(path_anchors(known))
-    whole = skew_join(values.withColumnRenamed("value", "path"), known.join(anchors, ["path"], "left_anti"), ["path"], "left_semi")
+    bare = cut_lineage(known.join(anchors, ["path"], "left_anti"))
+    whole = lookup_join(values.withColumnRenamed("value", "path"), bare, ["path"], "left_semi")
     sizes = sorted(r.n for r in anchors.select(F.length("gram").alias("n")).distinct().collect())
     if not sizes:
         return whole.select("log_id", "level", "field", "path")
     grams = _edge_grams(values.select("log_id", "field", "value"), "value", F.array(*[F.lit(n) for n in sizes]))
-    hits = lookup_join(grams, anchors.select("gram").distinct(), ["gram"], "left_semi")
-    pairs = cut_lineage(hits.join(anchors, "gram").select("log_id", "field", "path").distinct())
-    touched = lookup_join(values, pairs.select("log_id", "field").distinct(), ["log_id", "field"], "left_semi")
-    inside = touched.join(pairs, ["log_id", "field"]).filter(F.contains("value", "path"))
+    # By hash: a collision only adds a pair, and every pair is held against its text below.
+    hashed = anchors.select(F.xxhash64("gram").alias("_h"), "path")
+    hits = _meet(grams.select("log_id", "field", F.xxhash64("gram").alias("_h")), hashed, ["_h"])
+    pairs = cut_lineage(hits.select("log_id", "field", "path").distinct())
+    inside = _meet(values, pairs, ["log_id", "field"]).filter(F.contains("value", "path"))
     return whole.select("log_id", "level", "field", "path").unionByName(inside.select("log_id", "level", "field", "path"))
