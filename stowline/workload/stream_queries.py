@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline.plans.simulate import PLAN
-from stowline.session import new_folder
+from stowline.session import cut_lineage, new_folder
 from stowline.streaming import jobs, retention, snapshots, transitions
 from stowline.streaming.tables import BATCH, read_batches
 from stowline.workload.audit_queries import AUDIT, LATEST, SLACK
@@ -127,8 +127,9 @@ def _(t):
 
 def arrivals(rows: DataFrame, slices: int, folder: str, slice_no) -> None:
     """Write rows as ``slices`` files, in the order in which a stream will read them."""
+    dealt = cut_lineage(rows.withColumn("_slice", slice_no.cast("int")), "_slice")
     for n in range(slices):
-        rows.filter(slice_no == n).coalesce(1).write.mode("append").parquet(folder)
+        dealt.filter(F.col("_slice") == n).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
 
 
 @query("stream_transitions", AUDIT)
