@@ -6,8 +6,8 @@ region of up to ``SMALL`` sets gives all its pairs, a larger one is split by one
 where neighbours in sorted order and the first set of the run are the partners. In a large region every set is
 also compared with its hub, the set that lies most often in the commonest run over all trees, as the source of many
 edited copies does. What this finds links most sets. The rest is exact: in a region of more than ``SMALL`` sets that
-still holds several components, every set is held against every set of another one, by size and by all its MinHash values, in
-tiles dealt over the tasks; see :func:`across`. Every candidate is confirmed on full sets.
+still holds several components, every set is held against every set of another one, by size, by all its MinHash values and then in
+full, in tiles dealt over the tasks; see :func:`across`. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ TREES, DEPTH, SHALLOW = 16, 8, 4
 SMALL, NEAR = 16, 3
 DEEP_ROWS = 20_000
 WIDTH = 4 * DEPTH
-TILE_LEFT, TILE_RIGHT = 1024, 65_536
+TILE_LEFT, TILE_RIGHT, TILE_SHINGLES = 1024, 65_536, 4_000_000
+TILE = ["tree", "part", "i", "j"]
 
 
 def signature(shingles: np.ndarray, slopes: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -164,72 +165,158 @@ def fewest_equal(percent: int) -> int:
     return max(0, math.floor(n * p - 5 * math.sqrt(n * p * (1 - p))))
 
 
-def across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a region of more than ``SMALL`` sets and may be linked.
+def across(texts: DataFrame, sets: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets of different components that share a region of more than ``SMALL`` sets.
 
-    All of them, whatever the size of the region: its largest component is met by the sets of the others, which meet each other
-    too. Both sides are cut into tiles by hash, of about ``TILE_LEFT`` and ``TILE_RIGHT`` sets, so no task holds a region.
+    All that are needed to connect them, whatever the size of the region: its largest component is met by the sets of the others,
+    which meet each other too. Both sides are cut into tiles by hash, of about ``TILE_LEFT`` and ``TILE_RIGHT`` sets, so no task
+    holds a region. First only MinHash values meet; sets that then have a possible partner come again with their shingles and
+    are compared in full inside their tile, in the first tree they share. So what is written follows the sets, not their pairs.
     """
     named = sets.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-    named = cut_lineage(named.select("d", "n", "sig", "root"))
-    rows = named.select("d", "root", F.posexplode(F.array(*[
+    named = cut_lineage(named.select("key", "d", "n", "sig", "root"))
+    rows = named.select("key", "n", "root", F.posexplode(F.array(*[
         F.expr(f"substring(sig, {tree * WIDTH + 1}, {4 * SHALLOW})") for tree in range(TREES)])).alias("tree", "part"))
     crowded = rows.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where(
-        f"m > {SMALL} AND low <> high").select("tree", "part", "m")
+        f"m > {SMALL} AND low <> high").select("tree", "part")
     inside = cut_lineage(checked_join(rows, cut_lineage(crowded), ["tree", "part"], "inner"))
-    largest = inside.groupBy("tree", "part", "m", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("tree", "part", "m").agg(
-        F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"))
-    shape = cut_lineage(largest.select("tree", "part", "main", F.ceil((F.col("m") - F.col("k")) / TILE_LEFT).cast("int").alias("lefts"),
+    by_root = inside.groupBy("tree", "part", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    largest = by_root.groupBy("tree", "part").agg(
+        F.max_by(F.struct("root", "k", "w"), F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.sum("w").alias("w"))
+    lefts = F.ceil(F.greatest((F.col("m") - F.col("main.k")) / TILE_LEFT, (F.col("w") - F.col("main.w")) / TILE_SHINGLES))
+    shape = cut_lineage(largest.select("tree", "part", F.col("main.root").alias("main"), lefts.cast("int").alias("lefts"),
                                        F.ceil(F.col("m") / TILE_RIGHT).cast("int").alias("rights")))
-    placed = checked_join(inside.select("tree", "part", "d", "root"), shape, ["tree", "part"], "inner")
-    left, right = F.pmod(F.xxhash64("d"), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("d", F.lit(1)), F.col("rights")).cast("int")
+    placed = checked_join(inside.select("tree", "part", "key", "root"), shape, ["tree", "part"], "inner")
+    left, right = F.pmod(F.xxhash64("key"), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("rights")).cast("int")
     probes = placed.where("root <> main").select(
-        "tree", "part", left.alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.lit(0).alias("side"), "d")
+        "tree", "part", left.alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.lit(0).alias("side"), "key")
     others = placed.select(
-        "tree", "part", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), right.alias("j"), F.lit(1).alias("side"), "d")
-    tile = ["tree", "part", "i", "j"]
-    dealt = probes.unionByName(others).distinct().join(named, "d").repartition(*tile).sortWithinPartitions(*tile, "side")
+        "tree", "part", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), right.alias("j"), F.lit(1).alias("side"), "key")
+    trees = inside.groupBy("key").agg(F.sum(F.expr("shiftleft(1, tree)")).alias("trees"))
+    named = cut_lineage(named.join(trees, "key"))
     least = fewest_equal(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        for tile, side, some in _slices(batches):
+            if tile != now:
+                yield from (keep.filter(pa.array(mark)) for _, keep, mark in held)
+                now, held = tile, []
+            part, keep, mark = _part(some), some.select([*TILE, "side", "key"]), np.zeros(some.num_rows, bool)
+            if side == 0:
+                held.append((part, keep, mark))
+                continue
+            for probe, _, found in held:
+                for x, y in _near(probe, part, tile[0], least, percent):
+                    found[x] = mark[y] = True
+            yield keep.filter(pa.array(mark))
+        yield from (keep.filter(pa.array(mark)) for _, keep, mark in held)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, above = None, [], {}
+        for tile, side, some in _slices(batches):
+            if tile != now:
+                now, held, above = tile, [], {}
+            part, shingles = _part(some), [np.frombuffer(s, np.uint64) for s in some.column("shingles").to_pylist()]
+            if side == 0:
+                held.append((part, shingles))
+                continue
+            out = []
+            for probe, own in held:
+                for x, y in _near(probe, part, tile[0], least, percent):
+                    for i, j in _linked(own, shingles, x, y, percent):
+                        if _join(above, int(probe[3][i]), int(part[3][j])):
+                            out.append(sorted((int(probe[1][i]), int(part[1][j]))))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def met(tiles: DataFrame, sides: DataFrame) -> DataFrame:
+        return tiles.join(sides, "key").repartition(*TILE).sortWithinPartitions(*TILE, "side")
+
+    near = cut_lineage(met(probes.unionByName(others), named).mapInArrow(partners, "tree int, part binary, i int, j int, side int, key binary"))
+    few = cut_lineage(named.join(near.select("key").distinct(), "key", "left_semi"))
+    whole = shingled(checked_join(texts, cut_lineage(few.select("d").distinct()), ["d"], "left_semi"), size).dropDuplicates(["d", "key"])
+    return met(near, few.join(whole, ["d", "key"])).mapInArrow(links, "a bigint, b bigint").distinct()
+
+
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """(d, key, shingles) of rows of (d, t) with words: the whole set and its identity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in tile)))
-            sides = batch.column("side").to_pylist()
-            start = 0
-            for end in range(1, len(keys) + 1):
-                if end < len(keys) and keys[end] == keys[start] and sides[end] == sides[start]:
-                    continue
-                some = batch.slice(start, end - start)
-                part = tuple(some.column(c).to_numpy(zero_copy_only=False) for c in ("d", "n", "root"))
-                part = (np.frombuffer(b"".join(some.column("sig").to_pylist()), ">u4").reshape(-1, TREES * DEPTH), *part)
-                if keys[start] != now:
-                    now, held = keys[start], []
-                if sides[start] == 0:
-                    held.append(part)
-                else:
-                    for probe in held:
-                        found = _tile(probe, part, least, percent)
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+            for some in pieces(batch, "t"):
+                found = [shingle_set(value, size, words).tobytes() for value in some.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("d"), pa.array([xxhash.xxh3_128_digest(f) if f else None for f in found], pa.binary()), pa.array(found, pa.binary())],
+                    ["d", "key", "shingles"])
+
+    return docs.select("d", "t").mapInArrow(run, "d bigint, key binary, shingles binary").where("key IS NOT NULL")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """(tile, side, rows) of batches sorted by tile and side; one side of a tile may come in several slices."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in (*TILE, "side"))))
+        start = 0
+        for end in range(1, len(keys) + 1):
+            if end == len(keys) or keys[end] != keys[start]:
+                yield keys[start][:-1], keys[start][-1], batch.slice(start, end - start)
                 start = end
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
+def _part(some: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """MinHash values, ids, sizes, roots and crowded trees (as bits) of the rows."""
+    sig = np.frombuffer(b"".join(some.column("sig").to_pylist()), ">u4").reshape(-1, TREES * DEPTH)
+    return sig, *(some.column(c).to_numpy(zero_copy_only=False) for c in ("d", "n", "root", "trees"))
 
-def _tile(left: tuple, right: tuple, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smaller, larger) ids of the pairs of two tiles that are of different components, close in size and in MinHash values."""
-    low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+def _near(left: tuple, right: tuple, tree: int, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of two parts that are of different components, close in size and in MinHash values, and share no
+    crowded region of an earlier tree, where they meet already."""
+    heads = np.arange(TREES * DEPTH).reshape(TREES, DEPTH)[:tree, :SHALLOW].ravel()
     for i in range(0, len(left[0]), 64):
-        sig, d, n, root = (x[i:i + 64] for x in left)
+        sig, _, n, root, trees = (x[i:i + 64] for x in left)
         for j in range(0, len(right[0]), 256):
-            sig2, d2, n2, root2 = (x[j:j + 256] for x in right)
+            sig2, _, n2, root2, _ = (x[j:j + 256] for x in right)
             may = (root[:, None] != root2) & (np.minimum(n[:, None], n2) * 100 >= percent * np.maximum(n[:, None], n2))
-            if may.any():
-                may &= (sig[:, None, :] == sig2).sum(axis=2) >= least
-                x, y = np.nonzero(may)
-                low.append(np.minimum(d[x], d2[y]))
-                high.append(np.maximum(d[x], d2[y]))
-    return np.concatenate(low), np.concatenate(high)
+            if not may.any():
+                continue
+            may &= (sig[:, None, :] == sig2).sum(axis=2) >= least
+            x, y = np.nonzero(may)
+            if tree:
+                same = (sig[x][:, heads] == sig2[y][:, heads]).reshape(len(x), tree, SHALLOW).all(axis=2)
+                new = ~(same & (trees[x][:, None] >> np.arange(tree) & 1).astype(bool)).any(axis=1)
+                x, y = x[new], y[new]
+            if len(x):
+                yield x + i, y + j
+
+
+def _linked(own: list[np.ndarray], others: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """The pairs of positions, sorted by ``x``, whose whole sets reach ``percent``: intersection against union."""
+    edges = [0, *(np.flatnonzero(np.diff(x)) + 1), len(x)]
+    for start, end in zip(edges, edges[1:]):
+        held, many = own[x[start]], [others[j] for j in y[start:end]]
+        sizes = np.array([len(s) for s in many])
+        flat = np.concatenate(many)
+        hit = held[np.minimum(np.searchsorted(held, flat), len(held) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        for at in np.flatnonzero((both > 0) & (100 * both >= percent * (len(held) + sizes - both))):
+            yield int(x[start]), int(y[start + at])
+
+
+def _join(above: dict[int, int], a: int, b: int) -> bool:
+    """Make two components one; False if they are one already. ``above`` leads from a component towards the one it is in."""
+    a, b = (_top(above, r) for r in (a, b))
+    if a != b:
+        above[max(a, b)] = min(a, b)
+    return a != b
+
+
+def _top(above: dict[int, int], r: int) -> int:
+    while r in above:
+        above[r] = above.get(above[r], above[r])
+        r = above[r]
+    return r
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -277,7 +364,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     rows = cut_lineage(signed(docs, size, doc_id, text))
     known = rows.where("key IS NOT NULL AND d IS NOT NULL")
     classes = cut_lineage(known.groupBy("key").agg(F.min("d").alias("rep")))
-    sets = cut_lineage(known.join(classes.withColumnRenamed("rep", "d"), ["key", "d"]).select("d", "n", "sig").dropDuplicates())
+    sets = cut_lineage(known.join(classes.withColumnRenamed("rep", "d"), ["key", "d"]).select("d", "key", "n", "sig").dropDuplicates())
     first, rest = candidates(sets)
     texts = own.where("d IS NOT NULL")
     strong = cut_lineage(confirmed(texts, cut_lineage(first), size, percent))
@@ -289,7 +376,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         .join(first, ["a", "b"], "left_anti")
     )
     strong = cut_lineage(strong.unionByName(confirmed(texts, cut_lineage(open_pairs), size, percent)))
-    more = confirmed(texts, cut_lineage(across(sets, components(strong), percent)), size, percent)
+    more = across(texts, sets, components(strong), size, percent)
     copies = known.join(classes, "key").where("d <> rep").select(F.col("rep").alias("a"), F.col("d").alias("b"))
     root = components(strong.unionByName(more).unionByName(copies))
     joined = rows.select("d", "n").join(root.withColumnRenamed("node", "d"), "d", "left")

@@ -57,3 +57,25 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
             copy[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
         rows.append((i, " ".join(copy)))
     assert rows_of(near_duplicates(docs_frame(spark, rows), size=4)) == brute.near_duplicates(rows, 4)
+
+
+def test_crowded_sets_without_links_are_not_written_as_pairs(spark, monkeypatch):
+    """Copies of one text edited so far that hardly any two are linked: their pairs meet in tiles and are never rows."""
+    seen = []
+    confirmed = minhash_forest.confirmed
+
+    def counted(docs, pairs, size, percent):
+        seen.append(pairs.count())
+        return confirmed(docs, pairs, size, percent)
+
+    monkeypatch.setattr(minhash_forest, "confirmed", counted)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(5):
+            copy[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    assert rows_of(near_duplicates(docs_frame(spark, rows), size=4)) == brute.near_duplicates(rows, 4)
+    assert sum(seen) < 60 * len(rows)
