@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions.content import UnsupportedDigest
 from stowline.operators import acl, capacity, doctor, dups, identity, inventory, journal, observability
-from stowline.plans import checks
+from stowline.plans import checks, placement
 from stowline.sources import catalog, files, listings, logs
 from stowline.workload import load_all
 from stowline.workload.registry import QUERIES, Tables
@@ -273,3 +273,38 @@ def test_ancestors_takes_every_folder(spark, tmp_path):
     load_all()
     got = {(r["ref"], r["ancestor"], r["distance"]) for r in QUERIES["ancestors"](Tables(spark, str(tmp_path))).collect()}
     assert got == {("n1", "r3", 1), ("n2", "r9", 1), ("c7", "n1", 1), ("c20", "n2", 1), ("c21", "n5", 1), ("c7", "r3", 2), ("c20", "r9", 2)}
+
+
+def join_spy(monkeypatch, module, name):
+    """Whether the plan of the first frame given to ``module.name`` holds a join, per call."""
+    seen, real = [], getattr(module, name)
+
+    def spy(df, *args, **kwargs):
+        seen.append("Join" in df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(module, name, spy)
+    return seen
+
+
+REPLICAS = "library_id long, blob_id long, file_id long, location_id long, location_kind string, hydration string, state string, is_online boolean, size long, binding string"
+
+
+def test_evicts_meet_their_replicas_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, b, 10 * b + k, k, "volume", "local_full", "verified", True, 5, None) for b in range(4) for k in range(b + 1)], REPLICAS)
+    seen = [join_spy(monkeypatch, checks, name) for name in ("order_buckets", "skew_join")]
+    out = checks.authorise_delete(rows.select("library_id", "blob_id", "file_id"), rows)
+    got = {r["file_id"]: r["verdict"] for r in out.collect()}
+    assert got == {10 * b + k: "permit" if k < b else "refused_last_copy" for b in range(4) for k in range(b + 1)}
+    assert seen == [[False], [False]]
+
+
+def test_evict_candidates_outside_the_goals_are_found_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, b, 10 * b + k, k, "volume", "local_full", "verified", True, 5, None) for b in range(4) for k in range(b + 1)], REPLICAS)
+    goals = spark.createDataFrame([(0, b, 0) for b in range(4)], "library_id long, blob_id long, dest long")
+    needs = spark.createDataFrame([], "library_id long, blob_id long, dest_kind string, no_source boolean")
+    policy_rows = spark.createDataFrame([(0, b, False, 1) for b in range(4)], "library_id long, blob_id long, pin_local boolean, min_replicas int")
+    seen = join_spy(monkeypatch, placement, "skew_join")
+    got = {r["file_id"] for r in placement.can_evict(goals, rows, needs, policy_rows).collect()}
+    assert got == {10 * b + k for b in range(4) for k in range(1, b + 1)}
+    assert seen == [False]
