@@ -29,7 +29,9 @@ SAMPLE_ROWS = 4000
 LANDMARKS = 256
 NEGATIVES = 3000
 CLEAN_RATE = 0.02
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+#: Texts whose words wait for their values at once: their sets take some fifteen times the texts' own bytes.
+SCORE_BYTES = 1 << 20
 THRESHOLD = 0.3
 SECOND = 0.1
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
@@ -317,11 +319,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_
 
 
 def _scorer(model: Model):
-    """A function from arrays of texts to arrays of scores, with the words' values remembered up to a bound."""
+    """A function from arrays of texts to arrays of scores, with the words' values remembered up to a bound.
+
+    However many texts come at once, only the words of about ``SCORE_BYTES`` of them are held.
+    """
     known: dict[str, float] = {}
     empty = model.score(model.bias)
 
-    def scores(texts: list[str | None]) -> pa.Array:
+    def some_scores(texts: list[str | None]) -> pa.Array:
         found = [tokens(t) if t else set() for t in texts]
         new = list({w for ws in found for w in ws if w not in known})
         for start in range(0, len(new), 20_000):
@@ -332,6 +337,10 @@ def _scorer(model: Model):
             known.clear()
         return pa.array(out, pa.float64())
 
+    def scores(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["t"])
+        return pa.chunked_array([some_scores(some.column("t").to_pylist()) for some in pieces(batch, "t", SCORE_BYTES)], pa.float64()).combine_chunks()
+
     return scores
 
 
@@ -352,7 +361,7 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         scores = _scorer(shared.value)
         for batch in batches:
             for some in pieces(batch, "t"):
-                found = scores(some.column("t").to_pylist())
+                found = scores(some.column("t"))
                 high = [int(s >= threshold) for s in found.to_pylist()]
                 columns = [some.column("d"), *[some.column(c) for c in carried], found, pa.array(high, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, [doc_id, *keep, "score", "predicted"])
@@ -372,8 +381,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = _scorer(shared.value)
         for part in parts:
-            batch = pa.RecordBatch.from_arrays([part], ["t"])
-            yield pa.chunked_array([scores(some.column("t").to_pylist()) for some in pieces(batch, "t")], pa.float64()).combine_chunks()
+            yield scores(part)
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.where(score(F.col("row").getField(text)) < threshold).select("row.*")

@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stowline.llm.queries import QUERIES
-from stowline.llm.toxicity import DECAY, SPAN, fit, fit_words, features, tokens, toxicity
+from stowline.llm.toxicity import DECAY, SPAN, Model, _scorer, fit, fit_words, features, tokens, toxicity
 from tests.llm.data import docs_frame, table_rows
 
 SF = "/root/testdata/sf0.1"
@@ -41,6 +44,17 @@ def test_disguised_words():
     assert "stupid" in tokens("so s t u p i d") and "a" in tokens("a b")
 
 
+def test_memory_of_scoring_follows_a_slice():
+    texts = pa.array([" ".join(f"w{(i * 7 + j * j) % 3001}" for j in range(200)) for i in range(6000)] + [None, ""])
+    scores = _scorer(Model(np.linspace(-1, 1, 64**3), 0.0, 1.0, 0.0))
+    tracemalloc.start()
+    got = scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    assert got.to_pylist() == [s for i in range(0, len(texts), 2000) for s in scores(texts[i:i + 2000]).to_pylist()]
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, SF).collect()}
     assert len(got) == 10_000
