@@ -5,7 +5,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from stowline.operators import inventory, observability, policy
-from stowline.workload.registry import Tables
+from stowline.workload import load_all, plan_queries
+from stowline.workload.registry import QUERIES, Tables
 from stowline.workload.views import VIEWS
 
 
@@ -47,3 +48,15 @@ def test_needs_and_texts_are_derived_once(spark, capsys):
     leaks = observability.path_leak_audit(logs.union(logs.withColumn("msg", F.lit("/yet/other.mp4")).withColumn("log_id", F.lit(2))), known)
     assert {(r.log_id, r.field, r.path) for r in leaks.collect()} == {(2, "msg", "/yet/other.mp4")}
     assert "Generate" not in plan_of(leaks, capsys)
+
+
+def test_sources_are_chosen_without_storing_needs(spark, monkeypatch):
+    stored, goals = [], spark.createDataFrame([(0, 1, 2, "volume", 10)], "library_id long, blob_id long, dest long, dest_kind string, size long")
+    files = spark.createDataFrame([(7, 0, 1, 1, "/a", "local_full", "verified", True, "volume")], "file_id long, library_id long, blob_id long, "
+                                  "location_id long, path string, hydration string, state string, is_online boolean, location_kind string")
+    t = Tables(spark, "unused")
+    t._made["v_files"], t.shared["goals"] = files, goals
+    monkeypatch.setattr(plan_queries, "cut_lineage", lambda df: stored.append(df) or df)
+    load_all()
+    assert [tuple(r) for r in QUERIES["choose_source"](t).collect()] == [(0, 1, 2, 1, "volume", 7, False)]
+    assert not stored
